@@ -1 +1,162 @@
+"""Streaming jobs over EV, landed in three parts that follow each other in time.
 
+Each query lands every event, runs its job over one file after the other, and returns what a reader
+of the sink sees afterwards; its SQL is the batch answer over the same table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from queries.base import (
+    AS_OF,
+    DAILY,
+    EV,
+    ISO,
+    R6,
+    TEMPORAL_OUT,
+    ZSCORE,
+    ev,
+    ev_by_type,
+    query,
+    rounded,
+    temporal_out,
+)
+from queries.series import ALERT_LINE, BY_TYPE_SQL, CURRENT_SERIES
+from tonegauge.operators.maintenance import with_headline_hash
+from tonegauge.schemas import columns
+from tonegauge.session import run_dir
+from tonegauge.streaming import jobs as J
+from tonegauge.streaming.batchlog import BatchLog
+
+PARTS = (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01"))
+
+
+def landed(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """Stream over the events, one file per time range and one file per batch."""
+    folder = run_dir(spark, "landed")
+    for first, end in PARTS:
+        part = events.filter((F.col("ts") >= first) & (F.col("ts") < end))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return J.landed_files(spark, folder, events.schema, files_per_trigger=1)
+
+
+def drained(spark: SparkSession, stream: DataFrame, handle, mode: str = "append") -> None:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(handle)
+    J.drain(writer, run_dir(spark, "offsets"))
+
+
+@query(
+    "stream_ingest",
+    f"""WITH {EV} SELECT event_id, entity, {ISO()}, {R6('sentiment_score', 'sentiment_score')} FROM ev""",
+)
+def _stream_ingest(spark, sf):
+    out = run_dir(spark, "ingested")
+    rows = landed(spark, ev(spark, sf)).select("event_id", "entity", "date", "sentiment_score")
+    J.drain(rows.writeStream.format("parquet").option("path", out), run_dir(spark, "offsets"))
+    back = spark.read.schema(rows.schema).parquet(out)
+    return rounded(back, "sentiment_score")
+
+
+@query(
+    "stream_dedup",
+    f"""WITH {EV} SELECT min(event_id) AS event_id, md5(lower(headline)) AS headline_hash FROM ev GROUP BY 2""",
+)
+def _stream_dedup(spark, sf):
+    """First event of each headline over the life of the stream."""
+    rows = with_headline_hash(landed(spark, ev(spark, sf))).select("event_id", "headline_hash")
+    log = BatchLog(
+        spark, run_dir(spark, "firsts"), columns(event_id="long", headline_hash="string")
+    )
+    drained(spark, rows, J.dedup_forever(log, ["headline_hash"], [F.col("event_id")]))
+    return log.read().drop("batch_id")
+
+
+@query(
+    "stream_dedup_within",
+    f"""WITH {EV} SELECT DISTINCT headline FROM ev WHERE ts >= TIMESTAMP '2024-01-25'""",
+)
+def _stream_dedup_within(spark, sf):
+    """Distinct headlines of the last days by watermarked state: those rows lie within one delay."""
+    out = run_dir(spark, "within")
+    stream = landed(spark, ev(spark, sf)).filter(F.col("ts") >= "2024-01-25")
+    rows = J.dedup_within(stream, ["headline"]).select("headline")
+    J.drain(rows.writeStream.format("parquet").option("path", out), run_dir(spark, "offsets"))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query(
+    "stream_late",
+    """SELECT event_id FROM events
+    WHERE floor((epoch(TIMESTAMP '2024-01-20 12:00:00') - epoch(ts)) / 86400) BETWEEN 0 AND 7""",
+)
+def _stream_late(spark, sf):
+    out = run_dir(spark, "recent")
+    stream = J.recent_stream(landed(spark, ev(spark, sf)), "2024-01-20 12:00:00")
+    rows = stream.select("event_id")
+    J.drain(rows.writeStream.format("parquet").option("path", out), run_dir(spark, "offsets"))
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+@query(
+    "stream_daily",
+    f"""WITH {EV}, {DAILY('sentiment_score')} SELECT entity, {ISO()}, {R6('d', 'daily_avg_sentiment')} FROM daily""",
+)
+def _stream_daily(spark, sf):
+    daily = J.daily_mean_stream(landed(spark, ev(spark, sf)).withWatermark("ts", "7 days"))
+    log = BatchLog(spark, run_dir(spark, "daily"), daily.schema)
+    drained(spark, daily, log.write, mode="update")
+    return rounded(log.latest(["entity", "date"]), "daily_avg_sentiment")
+
+
+def _risk_stream(spark, events) -> J.RiskStream:
+    state = J.RiskStream(spark, run_dir(spark, "risk"), AS_OF)
+    drained(spark, landed(spark, events), state.handle)
+    return state
+
+
+@query(
+    "stream_zscore",
+    f"WITH {EV}, {DAILY('sentiment_score')}, {ZSCORE()} SELECT {TEMPORAL_OUT} FROM temporal",
+)
+def _stream_zscore(spark, sf):
+    return temporal_out(_risk_stream(spark, ev(spark, sf)).temporal())
+
+
+@query("stream_zscore_as_of", f"{CURRENT_SERIES} SELECT {TEMPORAL_OUT} FROM temporal")
+def _stream_zscore_as_of(spark, sf):
+    return temporal_out(_risk_stream(spark, ev(spark, sf)).temporal_as_of(AS_OF))
+
+
+@query(
+    "stream_upsert",
+    f"""WITH {EV}, b AS (
+      SELECT *, md5(lower(headline)) AS headline_hash,
+             CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS batch
+      FROM ev),
+    l AS (SELECT *, max(batch) OVER (PARTITION BY headline_hash) AS newest FROM b)
+    SELECT event_id, headline_hash, {R6('sentiment_score', 'sentiment_score')} FROM l WHERE batch = newest""",
+)
+def _stream_upsert(spark, sf):
+    rows = with_headline_hash(landed(spark, ev(spark, sf))).select(
+        "event_id", "headline_hash", "sentiment_score"
+    )
+    log = BatchLog(spark, run_dir(spark, "upserts"), rows.schema)
+    drained(spark, rows, J.upsert_into(log))
+    return rounded(log.latest_batch_rows(["headline_hash"]), "sentiment_score")
+
+
+# Age weights of a day before all events are 1, which makes the scores equal to the unweighted ones.
+WEIGHT_FREE = "2024-01-01"
+
+
+@query(
+    "stream_alerts",
+    f"""{BY_TYPE_SQL} SELECT entity, composite_risk_score, {ALERT_LINE} AS alert_line FROM risk
+    WHERE risk_tier = 'HIGH' AND composite_risk_score >= 35 AND total_headlines >= 5""",
+)
+def _stream_alerts(spark, sf):
+    state = J.RiskStream(spark, run_dir(spark, "risk"), WEIGHT_FREE)
+    drained(spark, landed(spark, ev_by_type(spark, sf)), state.handle)
+    return state.current_alerts()

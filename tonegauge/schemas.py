@@ -2,27 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-ARTICLES = StructType.fromDDL(
-    "date DATE, entity STRING, headline STRING, true_label STRING, source STRING, url STRING,"
-    " time_weight DOUBLE, headline_hash STRING"
+
+def columns(**types: str | DataType) -> StructType:
+    """A schema of nullable columns."""
+    schema = StructType()
+    for name, kind in types.items():
+        schema.add(name, kind)
+    return schema
+
+
+ARTICLES = columns(
+    date="date",
+    entity="string",
+    headline="string",
+    true_label="string",
+    source="string",
+    url="string",
+    time_weight="double",
+    headline_hash="string",
 )
-SCORED = StructType.fromDDL(
-    "date DATE, entity STRING, headline STRING, true_label STRING, source STRING, url STRING,"
-    " time_weight DOUBLE, headline_hash STRING, prob_positive DOUBLE, prob_negative DOUBLE,"
-    " prob_neutral DOUBLE, predicted_label STRING, confidence DOUBLE, sentiment_score DOUBLE"
+SCORED = columns(
+    **{field.name: field.dataType for field in ARTICLES},
+    prob_positive="double",
+    prob_negative="double",
+    prob_neutral="double",
+    predicted_label="string",
+    confidence="double",
+    sentiment_score="double",
 )
-TEMPORAL = StructType.fromDDL(
-    "date DATE, daily_avg_sentiment DOUBLE, rolling_mean DOUBLE, rolling_std DOUBLE,"
-    " z_score DOUBLE, entity STRING, anomaly_flag BOOLEAN"
+TEMPORAL = columns(
+    date="date",
+    daily_avg_sentiment="double",
+    rolling_mean="double",
+    rolling_std="double",
+    z_score="double",
+    entity="string",
+    anomaly_flag="boolean",
 )
-RISK_SUMMARY = StructType.fromDDL(
-    "entity STRING, total_headlines BIGINT, negative_ratio DOUBLE, avg_sentiment_score DOUBLE,"
-    " anomaly_days BIGINT, composite_risk_score DOUBLE, risk_tier STRING"
+RISK_SUMMARY = columns(
+    entity="string",
+    total_headlines="long",
+    negative_ratio="double",
+    avg_sentiment_score="double",
+    anomaly_days="long",
+    composite_risk_score="double",
+    risk_tier="string",
 )
-SOURCE_SUMMARY = StructType.fromDDL("source STRING, headlines BIGINT")
-SEEN_HASHES = StructType.fromDDL("hash STRING")
+SOURCE_SUMMARY = columns(source="string", headlines="long")
+SEEN_HASHES = columns(hash="string")
 
 TABLES = {
     "news_articles": ARTICLES,
@@ -33,13 +62,30 @@ TABLES = {
     "dedup_cache": SEEN_HASHES,
 }
 
+# What the streaming jobs keep between batches.
+DAILY_ROLLUP = columns(
+    entity="string",
+    date="date",
+    headlines="long",
+    negatives="long",
+    value_sum="double",
+    value_count="long",
+)
+ALERTS = columns(entity="string", composite_risk_score="double", alert_line="string")
+
 REQUIRED_HEADLINE_COLUMNS = ("date", "entity", "headline", "true_label", "source")
 
-FEED_ITEM = StructType.fromDDL("title STRING, pubDate STRING, link STRING")
-RSS_PAYLOAD = StructType.fromDDL(
-    "channel STRUCT<item: ARRAY<STRUCT<title: STRING, pubDate: STRING, link: STRING>>>"
-)
-NEWS_PAYLOAD = StructType.fromDDL(
-    "status STRING, message STRING, articles ARRAY<STRUCT<title: STRING, description: STRING,"
-    " publishedAt: STRING, source: STRUCT<name: STRING>>>"
+FEED_ITEM = columns(title="string", pubDate="string", link="string")
+RSS_PAYLOAD = columns(channel=columns(item=ArrayType(FEED_ITEM)))
+NEWS_PAYLOAD = columns(
+    status="string",
+    message="string",
+    articles=ArrayType(
+        columns(
+            title="string",
+            description="string",
+            publishedAt="string",
+            source=columns(name="string"),
+        )
+    ),
 )

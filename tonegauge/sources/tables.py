@@ -17,6 +17,7 @@ from tonegauge.operators.maintenance import (
     table_health,
     union_sources,
     upsert_by_key,
+    with_headline_hash,
 )
 from tonegauge.schemas import TABLES
 
@@ -88,11 +89,16 @@ class TableStore:
             new.write.mode("append").parquet(path)
         return self.read(name).count() - before
 
-    def upsert_scores(self, incoming: DataFrame, name: str = "scored_headlines", keys=(HASH,)) -> bool:
+    def upsert_scores(
+        self, incoming: DataFrame, name: str = "scored_headlines", keys=(HASH,)
+    ) -> bool:
         """Replace rows by key and keep the table ordered by date inside its files."""
         if incoming.isEmpty():
             return False
-        return self.replace(name, upsert_by_key(self.read(name), incoming, keys), sort_by="date")
+        stored = self.read(name)
+        if HASH in keys and HASH not in stored.columns:
+            stored = with_headline_hash(stored)
+        return self.replace(name, upsert_by_key(stored, incoming, keys), sort_by="date")
 
     def health(self) -> DataFrame:
         """Row count of every declared table."""

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tonegauge.operators.dedup import first_per_key
 
@@ -34,7 +34,7 @@ class BatchLog:
 
     def read(self, before: int | None = None, upto: int | None = None) -> DataFrame:
         """All rows with their batch; the bounds prune whole batch folders."""
-        full = StructType(self.schema.fields).add(BATCH, LongType())
+        full = StructType([*self.schema.fields, StructField(BATCH, LongType())])
         if not self._exists():
             return self.spark.createDataFrame([], full)
         rows = self.spark.read.schema(full).parquet(self.path)

@@ -22,20 +22,11 @@ from tonegauge.operators.temporal import (
     rolling_zscore,
     temporal_from_rollup,
 )
+from tonegauge.schemas import ALERTS, DAILY_ROLLUP, TEMPORAL
 from tonegauge.streaming.batchlog import BatchLog
 
 Handler = Callable[[DataFrame, int], None]
 
-ROLLUP = StructType.fromDDL(
-    "entity STRING, date DATE, headlines BIGINT, negatives BIGINT, value_sum DOUBLE,"
-    " value_count BIGINT"
-)
-ZSCORES = StructType.fromDDL(
-    "date DATE, daily_avg_sentiment DOUBLE, rolling_mean DOUBLE, rolling_std DOUBLE,"
-    " z_score DOUBLE, entity STRING, anomaly_flag BOOLEAN"
-)
-ALERTS = StructType.fromDDL("entity STRING, composite_risk_score DOUBLE, alert_line STRING")
-
 
 def landed_files(
     spark: SparkSession,
@@ -123,8 +114,8 @@ class RiskStream:
     def __init__(self, spark: SparkSession, root: str, as_of=None, config: EngineConfig | None = None):
         self.config = config or EngineConfig()
         self.as_of = as_of
-        self.rollups = BatchLog(spark, f"{root}/rollups", ROLLUP)
-        self.zscores = BatchLog(spark, f"{root}/zscores", ZSCORES)
+        self.rollups = BatchLog(spark, f"{root}/rollups", DAILY_ROLLUP)
+        self.zscores = BatchLog(spark, f"{root}/zscores", TEMPORAL)
         self.alerts = BatchLog(spark, f"{root}/alerts", ALERTS)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
