@@ -282,25 +282,28 @@ def temporal_out(df: DataFrame) -> DataFrame:
 # --- DOC --------------------------------------------------------------------------------------
 
 
+def plain_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles for queries that need no label."""
+    offset = (F.col("n_chars") % 200).cast("int")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.date_add(F.lit("2023-06-01").cast("date"), offset).alias("date"),
+        F.col("lang").alias("entity"),
+        F.col("text").alias("headline"),
+        "source",
+    )
+
+
 def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels")
     label = (
         F.when(F.col("toxic") == 1, "negative")
         .when(F.col("quality") == 1, "positive")
         .when(F.col("quality").isNotNull(), "neutral")
         .otherwise("")
     )
-    return docs.join(labels, "doc_id", "left").select(
-        "doc_id",
-        F.date_add(F.lit("2023-06-01").cast("date"), (F.col("n_chars") % 200).cast("int")).alias(
-            "date"
-        ),
-        F.col("lang").alias("entity"),
-        F.col("text").alias("headline"),
-        label.alias("true_label"),
-        "source",
-    )
+    labels = table(spark, sf_dir, "labels")
+    joined = plain_doc(spark, sf_dir).join(labels, "doc_id", "left")
+    return joined.withColumn("true_label", label).drop("quality", "toxic")
 
 
 def labelled_doc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from queries.base import DOC, EV, R6, STRIP, doc, ev, labelled_doc, query, r6, rounded
+from queries.base import DOC, EV, R6, STRIP, ev, labelled_doc, plain_doc, query, r6, rounded
 from queries.text import HASHED
 from tonegauge.functions.hashing import headline_hash
 from tonegauge.functions.probabilities import argmax_label
@@ -53,7 +53,7 @@ def scored_out(df):
 
 @query("score_batch", f"WITH {DOC}, {VOWELS} SELECT {SCORED_OUT} FROM scored")
 def _score_batch(spark, sf):
-    rows = doc(spark, sf).select("doc_id", "headline")
+    rows = plain_doc(spark, sf).select("doc_id", "headline")
     return scored_out(S.score_batch(rows, vowel_model))
 
 
@@ -64,7 +64,7 @@ def _score_batch(spark, sf):
 )
 def _score_incremental(spark, sf):
     key = headline_hash(F.col("headline")).alias("headline_hash")
-    incoming = doc(spark, sf).select("doc_id", "headline", key)
+    incoming = plain_doc(spark, sf).select("doc_id", "headline", key)
     stored = labelled_doc(spark, sf).select(key)
     return scored_out(
         S.score_incremental(incoming, stored, lambda new: S.score_batch(new, vowel_model))
@@ -75,12 +75,13 @@ def _score_incremental(spark, sf):
     "score_columns",
     f"""WITH {EV} SELECT event_id, {R6('prob_positive', 'prob_positive')},
     {R6('prob_negative', 'prob_negative')}, {R6('prob_neutral', 'prob_neutral')},
-    model_label AS predicted_label,
+    CASE WHEN prob_neutral >= prob_positive AND prob_neutral >= prob_negative THEN 'neutral'
+         WHEN prob_positive >= prob_negative THEN 'positive' ELSE 'negative' END AS predicted_label,
     {R6('greatest(prob_positive, prob_negative, prob_neutral)', 'confidence')},
     {R6('prob_positive - prob_negative', 'sentiment_score')} FROM ev""",
 )
 def _score_columns(spark, sf):
-    # The class order of this array differs from the default on purpose.
+    # The class order of this array differs from the default on purpose; ties go to its first class.
     probabilities = F.array("prob_neutral", "prob_positive", "prob_negative")
     rows = ev(spark, sf).select("event_id", probabilities.alias("p"))
     scored = S.score_columns(rows, F.col("p"), ("neutral", "positive", "negative")).drop("p")
@@ -156,7 +157,7 @@ def _train_classifier(spark, sf):
     """Every document scored by a model fitted on the training part of the labelled ones."""
     train = _split_documents(spark, sf).filter(~F.col("is_holdout"))
     model = train_classifier(train)
-    scored = S.score_with_model(doc(spark, sf), model)
+    scored = S.score_with_model(plain_doc(spark, sf), model)
     return scored.select("doc_id", "predicted_label", r6("sentiment_score", "sentiment_score"))
 
 

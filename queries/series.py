@@ -240,6 +240,14 @@ def _risk_summary_by_type_model(spark, sf):
 
 @query("risk_summary_legacy", f"{LEGACY_SERIES}, {LIVE}, {LEGACY_RISK} {RISK_OUT}")
 def _risk_summary_legacy(spark, sf):
+    return R.by_risk(R.risk_summary_direct(ev(spark, sf), LEGACY, AS_OF))
+
+
+@query(
+    "risk_summary_legacy_two_tables",
+    f"{LEGACY_SERIES}, {LIVE}, {LEGACY_RISK} {RISK_OUT}",
+)
+def _risk_summary_legacy_two_tables(spark, sf):
     scored = ev(spark, sf)
     series = T.temporal_risk(scored, LEGACY)
     return R.by_risk(R.risk_summary(scored, series, LEGACY, AS_OF))

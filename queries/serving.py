@@ -14,6 +14,7 @@ from queries.base import (
     ev,
     ev_weighted,
     iso,
+    plain_doc,
     query,
     r6,
     rounded,
@@ -140,7 +141,7 @@ def _label_counts(spark, sf):
     ORDER BY headlines DESC, source LIMIT 10""",
 )
 def _top_sources(spark, sf):
-    return S.top_sources(S.source_summary(doc(spark, sf)))
+    return S.top_sources(S.source_summary(plain_doc(spark, sf)))
 
 
 @query(
@@ -166,13 +167,13 @@ def _leaderboard(spark, sf):
     {R6('t.d', 'daily_avg_sentiment')}, {R6('t.m', 'rolling_mean')}, {R6('t.sd', 'rolling_std')},
     {R6('t.z', 'z_score')}, t.flag AS anomaly_flag
     FROM risk r LEFT JOIN temporal t ON r.entity = t.entity,
-         (SELECT arg_min(sector, event_id) AS sector FROM ev WHERE entity = '42') s
-    WHERE r.entity = '42'""",
+         (SELECT arg_min(sector, event_id) AS sector FROM ev WHERE entity = '7') s
+    WHERE r.entity = '7'""",
 )
 def _entity_profile(spark, sf):
     scored = ev(spark, sf).withColumn("sector", F.col("sector").cast("string"))
     profile = S.entity_profile(
-        scored, temporal(spark, sf), risk_summary(spark, sf), "42", "event_id"
+        scored, temporal(spark, sf), risk_summary(spark, sf), "7", "event_id"
     )
     return temporal_out(profile)
 

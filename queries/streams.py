@@ -15,6 +15,7 @@ from queries.base import (
     EV,
     ISO,
     R6,
+    RISK,
     TEMPORAL_OUT,
     ZSCORE,
     ev,
@@ -23,6 +24,7 @@ from queries.base import (
     rounded,
     temporal_out,
 )
+from queries.composite import RUN_SERIES, run_events, score_events
 from queries.series import ALERT_LINE, BY_TYPE_SQL, CURRENT_SERIES
 from tonegauge.operators.maintenance import with_headline_hash
 from tonegauge.schemas import columns
@@ -160,3 +162,21 @@ def _stream_alerts(spark, sf):
     state = J.RiskStream(spark, run_dir(spark, "risk"), WEIGHT_FREE)
     drained(spark, landed(spark, ev_by_type(spark, sf)), state.handle)
     return state.current_alerts()
+
+
+@query("stream_full_run", f"{RUN_SERIES}, {RISK(source='run')} SELECT * FROM risk")
+def _stream_full_run(spark, sf):
+    """Events arrive as unscored articles; the stream cleans, scores and sums them up."""
+    articles = run_events(spark, sf)
+    kept = columns(
+        entity="string",
+        date="date",
+        headline_hash="string",
+        predicted_label="string",
+        sentiment_score="double",
+    )
+    state = J.RefreshStream(
+        spark, run_dir(spark, "refresh"), score_events, [F.col("event_id")], kept, AS_OF
+    )
+    drained(spark, landed(spark, articles), state.handle)
+    return state.summary()

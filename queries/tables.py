@@ -17,6 +17,7 @@ from queries.base import (
     iso,
     labelled_doc,
     page,
+    plain_doc,
     query,
     r6,
 )
@@ -76,7 +77,7 @@ def _upsert_by_key(spark, sf):
 def _seen_hashes_merge(spark, sf):
     key = headline_hash(F.col("headline")).alias("hash")
     seen = labelled_doc(spark, sf).select(key).distinct()
-    return M.merge_seen(seen, doc(spark, sf).select(key))
+    return M.merge_seen(seen, plain_doc(spark, sf).select(key))
 
 
 @query(
@@ -104,7 +105,7 @@ def _append_refresh(spark, sf):
 def _union_sources(spark, sf):
     live = page(spark, sf).select("entity", F.lit("google_news").alias("source"), "url")
     turns = conv(spark, sf).select(F.col("role").alias("source"))
-    return M.union_sources(doc(spark, sf).select("entity", "source"), live, turns)
+    return M.union_sources(plain_doc(spark, sf).select("entity", "source"), live, turns)
 
 
 def _scored(spark, sf):
@@ -169,6 +170,6 @@ def _storage_health(spark, sf):
     store.insert_articles(labelled_doc(spark, sf))
     store.insert_articles(doc(spark, sf))
     store.replace("scored_headlines", _scored(spark, sf))
-    keys = doc(spark, sf).select(headline_hash(F.col("headline")).alias("hash")).distinct()
+    keys = plain_doc(spark, sf).select(headline_hash(F.col("headline")).alias("hash")).distinct()
     store.replace("dedup_cache", keys)
     return store.health()

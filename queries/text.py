@@ -13,11 +13,11 @@ from queries.base import (
     STRIP,
     WS_CLASS,
     COLLAPSE,
-    doc,
     ev,
     iso,
     labelled_doc,
     page,
+    plain_doc,
     query,
     table,
 )
@@ -148,7 +148,7 @@ def HASHED(*parts: str) -> str:
 )
 def _hash_article(spark, sf):
     parts = [F.col(name) for name in ("headline", "entity", "date", "source")]
-    return doc(spark, sf).select("doc_id", H.article_hash(*parts).alias("headline_hash"))
+    return plain_doc(spark, sf).select("doc_id", H.article_hash(*parts).alias("headline_hash"))
 
 
 @query(
@@ -156,7 +156,7 @@ def _hash_article(spark, sf):
     f"WITH {DOC} SELECT doc_id, {HASHED(STRIP('headline'))} AS headline_hash FROM doc",
 )
 def _hash_headline(spark, sf):
-    return doc(spark, sf).select("doc_id", H.headline_hash(F.col("headline")).alias("headline_hash"))
+    return plain_doc(spark, sf).select("doc_id", H.headline_hash(F.col("headline")).alias("headline_hash"))
 
 
 @query(
@@ -171,8 +171,8 @@ def _hash_headline(spark, sf):
 def _dedup_ingest_key(spark, sf):
     key = H.ingest_hash(F.col("headline"), F.col("entity"), F.col("date")).alias("hash")
     seen = labelled_doc(spark, sf).select(key)
-    rows = doc(spark, sf).select("doc_id", "entity", key)
-    return first_per_key(only_new(rows, seen, ["hash"]), ["hash"], [F.col("doc_id")])
+    rows = plain_doc(spark, sf).select("doc_id", "entity", key)
+    return only_new(first_per_key(rows, ["hash"], [F.col("doc_id")]), seen, ["hash"])
 
 
 FUZZY = (
@@ -191,7 +191,7 @@ FUZZY = (
     SELECT min(doc_id) AS doc_id, fingerprint FROM h GROUP BY fingerprint""",
 )
 def _dedup_fuzzy(spark, sf):
-    rows = doc(spark, sf).select("doc_id", H.fuzzy_hash(F.col("headline")).alias("fingerprint"))
+    rows = plain_doc(spark, sf).select("doc_id", H.fuzzy_hash(F.col("headline")).alias("fingerprint"))
     return first_per_key(rows, ["fingerprint"], [F.col("doc_id")])
 
 
@@ -202,7 +202,7 @@ def _dedup_fuzzy(spark, sf):
 )
 def _anti_join_new(spark, sf):
     key = H.headline_hash(F.col("headline")).alias("headline_hash")
-    incoming = doc(spark, sf).select("doc_id", key)
+    incoming = plain_doc(spark, sf).select("doc_id", key)
     return only_new(incoming, labelled_doc(spark, sf).select(key), ["headline_hash"])
 
 
@@ -250,5 +250,5 @@ def _enrich_entities(spark, sf):
     (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM doc) WHERE i <= 20""",
 )
 def _cap_per_entity(spark, sf):
-    rows = doc(spark, sf).select("doc_id", "source")
+    rows = plain_doc(spark, sf).select("doc_id", "source")
     return top_per_key(rows, ["source"], [F.col("doc_id")], 20)

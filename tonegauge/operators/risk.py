@@ -135,14 +135,15 @@ def risk_summary(
     return finish_summary(risk_join(stats, anomaly_counts(temporal)), profile)
 
 
-def summary_from_rollup(rollup: DataFrame, profile: RiskProfile = CURRENT) -> DataFrame:
+def summary_from_rollup(
+    rollup: DataFrame, profile: RiskProfile = CURRENT, as_of=None
+) -> DataFrame:
     """Composite risk straight from the daily sums.
 
     One shuffle brings an entity's days together; window, flags and totals all use it, so there is
-    no second pass over the headlines and no join.
+    no second pass over the headlines and no join. Recency weights depend on the day alone, hence
+    they are applied to the sums; `as_of` matters only for them.
     """
-    if profile.normalised_recency:
-        raise ValueError("recency-normalised scores need the headlines, use risk_summary")
     series = Window.partitionBy("entity")
     dated = rollup.withColumn(
         "daily_avg_sentiment", F.when(F.col("date").isNotNull(), daily_mean())
@@ -155,23 +156,36 @@ def summary_from_rollup(rollup: DataFrame, profile: RiskProfile = CURRENT) -> Da
         .withColumn("anomaly_flag", flag_column(profile) & F.col("date").isNotNull())
     )
     kept = F.col("__days") >= profile.min_history_days
-    joined = flagged.groupBy("entity").agg(
+    common = [
         F.sum("headlines").alias("total_headlines"),
         (F.sum("negatives").cast("double") / F.sum("headlines")).alias("negative_share"),
-        F.try_divide(F.sum("value_sum"), F.sum("value_count")).alias("avg_sentiment"),
         F.count_if(F.col("anomaly_flag") & kept).alias("anomaly_days"),
         F.greatest(
             F.count_if(kept & F.col("date").isNotNull()), F.lit(1).cast("long")
         ).alias("total_days"),
-    )
-    return finish_summary(joined, profile)
+    ]
+    if profile.normalised_recency:
+        weight = exponential_weight(F.col("date"), as_of, profile.recency_scale_days)
+        flagged = flagged.withColumn("__w", weight)
+        mass = F.sum(F.col("__w") * F.col("headlines"))
+        weighed = F.sum(F.when(F.col("__w").isNotNull(), F.col("headlines")))
+        scores = [
+            F.try_divide(F.sum(F.col("__w") * F.col("value_sum")), mass).alias("avg_sentiment"),
+            F.try_divide(mass, weighed).alias("mean_recency"),
+        ]
+    else:
+        total = F.try_divide(F.sum("value_sum"), F.sum("value_count"))
+        scores = [total.alias("avg_sentiment")]
+    return finish_summary(flagged.groupBy("entity").agg(*common, *scores), profile)
 
 
 def risk_summary_direct(
-    scored: DataFrame, profile: RiskProfile = CURRENT, weighted: bool | None = None
+    scored: DataFrame, profile: RiskProfile = CURRENT, as_of=None, weighted: bool | None = None
 ) -> DataFrame:
     """Composite risk from scored rows alone: one scan, one raw shuffle."""
-    return summary_from_rollup(daily_rollup(scored, weighted), profile)
+    if profile.normalised_recency:
+        weighted = False
+    return summary_from_rollup(daily_rollup(scored, weighted), profile, as_of)
 
 
 def by_risk(summary: DataFrame) -> DataFrame:

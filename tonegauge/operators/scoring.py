@@ -62,9 +62,9 @@ def score_with_model(
     df: DataFrame, model: PipelineModel, labels: Sequence[str] = CLASS_ORDER
 ) -> DataFrame:
     """Score with a trained Spark ML model; its working columns are dropped."""
-    probabilities = vector_to_array(F.col("probability"))
-    added = [name for name in model.transform(df).columns if name not in df.columns]
-    return score_columns(model.transform(df), probabilities, labels).drop(*added)
+    predicted = model.transform(df)
+    added = [name for name in predicted.columns if name not in df.columns]
+    return score_columns(predicted, vector_to_array(F.col("probability")), labels).drop(*added)
 
 
 def score_incremental(

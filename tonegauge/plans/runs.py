@@ -14,10 +14,10 @@ from tonegauge.operators.dating import with_time_weight
 from tonegauge.operators.entities import enrich_entities
 from tonegauge.operators.filters import exclude_evaluation_corpus
 from tonegauge.operators.maintenance import upsert_by_key, with_headline_hash
-from tonegauge.operators.risk import alerts, by_risk, risk_summary, summary_from_rollup
+from tonegauge.operators.risk import alerts, by_risk, summary_from_rollup
 from tonegauge.operators.scoring import score_incremental
 from tonegauge.operators.summaries import source_summary
-from tonegauge.operators.temporal import daily_rollup, temporal_from_rollup, temporal_risk
+from tonegauge.operators.temporal import daily_rollup, temporal_from_rollup
 from tonegauge.session import materialise
 from tonegauge.sources.tables import TableStore
 
@@ -85,14 +85,18 @@ def refresh(
     config: EngineConfig | None = None,
 ) -> RunResult:
     """One run against stored tables. Every table is written once and later steps read it back,
-    so the model runs once per new headline and a lost executor costs one stage only."""
+    so the model runs once per new headline and a lost executor costs one stage only.
+
+    Freshly scored keys are new by construction, so they are appended, not merged. For history too
+    long to be summed up again on every run use `tonegauge.streaming.jobs.RefreshStream`.
+    """
     config = config or EngineConfig()
     articles = with_headline_hash(clean_articles(incoming, order_by, daily=True))
     fresh = score_incremental(articles, with_headline_hash(store.read("scored_headlines")), score)
     fresh = materialise(fresh, "scored-batch")
     added = store.insert_articles(articles.drop("headline_hash"))
     if added:
-        store.upsert_scores(fresh)
+        store.append("scored_headlines", fresh)
     result = analyse(store.read("scored_headlines"), as_of, config, keep_rollup=True)
     store.replace("temporal_risk", result.temporal)
     store.replace("risk_summary", result.summary)
@@ -111,11 +115,11 @@ def run_legacy(raw: DataFrame, score: Scorer, as_of=None) -> RunResult:
     """The older run: no incremental state, evaluation corpus left out, legacy profile."""
     scored = score(enrich_entities(raw))
     live = exclude_evaluation_corpus(scored)
-    temporal = temporal_risk(live, LEGACY, weighted=False)
-    summary = risk_summary(live, temporal, LEGACY, as_of)
+    rollup = daily_rollup(live, weighted=False)
+    summary = summary_from_rollup(rollup, LEGACY, as_of)
     return RunResult(
         scored=scored,
-        temporal=temporal,
+        temporal=temporal_from_rollup(rollup, LEGACY),
         summary=by_risk(summary),
         sources=source_summary(live, with_score=True),
         alerts=alerts(summary),

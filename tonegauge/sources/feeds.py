@@ -87,6 +87,13 @@ def parse_news_json(payloads: DataFrame, payload: str = "payload", as_of=None) -
     return min_text_length(rows)
 
 
+def _first_unseen(rows: DataFrame, seen: DataFrame | None, order_by: list[Column]) -> DataFrame:
+    """First row per hash, then the unseen ones. In this order the copies of a hot key are dropped
+    before the first shuffle."""
+    firsts = first_per_key(rows, ["hash"], order_by)
+    return firsts if seen is None else only_new(firsts, seen, ["hash"])
+
+
 def ingest_feed(
     items: DataFrame,
     order_by: list[Column],
@@ -114,9 +121,7 @@ def ingest_feed(
     rows = recent(rows, "__published", as_of, max_age_days).withColumn(
         "hash", ingest_hash(F.col("headline"), F.col("entity"), F.col("date"))
     )
-    if seen is not None:
-        rows = only_new(rows, seen, ["hash"])
-    rows = first_per_key(rows, ["hash"], order_by)
+    rows = _first_unseen(rows, seen, order_by)
     rows = top_per_key(rows, ["entity"], order_by, max_per_entity)
     return rows.select(
         "date",
@@ -143,9 +148,7 @@ def ingest_feed_loader(
             }
         )
     ).withColumn("hash", fuzzy_hash(F.col("headline")))
-    if seen is not None:
-        rows = only_new(rows, seen, ["hash"])
-    rows = first_per_key(rows, ["hash"], order_by)
+    rows = _first_unseen(rows, seen, order_by)
     return rows.select(
         "date", "entity", "headline", F.lit("").alias("true_label"), "source", "hash"
     )

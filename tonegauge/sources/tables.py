@@ -1,26 +1,29 @@
 """Stored tables: one folder per table, one sub-folder per committed version.
 
-A version counts once Spark's own commit has left its `_SUCCESS` file, so a reader sees the old or
-the new table and never a mixture. All file access goes through Hadoop, hence any shared store.
+A version counts once its marker file is there, which is created after Spark has committed the
+files. A reader sees the old or the new table and never a mixture. All file access goes through
+Hadoop, hence any shared store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tonegauge.operators.maintenance import (
     HASH,
     absent_articles,
-    insert_if_absent,
     table_health,
     union_sources,
     upsert_by_key,
+    with_article_hash,
     with_headline_hash,
 )
 from tonegauge.schemas import TABLES
 
+MARKER = "_COMMITTED"
+
 
 class TableStore:
     """Named tables below one root folder."""
@@ -30,18 +33,20 @@ class TableStore:
         self.root = root.rstrip("/")
         self.schemas = TABLES if schemas is None else schemas
 
+    def _hadoop(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _versions(self, name: str) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        """Numbers of the committed versions, oldest first."""
+        folder, fs = self._hadoop(f"{self.root}/{name}")
         if not fs.exists(folder):
             return []
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        done = jvm.org.apache.hadoop.fs.Path
+        entries = [status.getPath().getName() for status in fs.listStatus(folder)]
         return sorted(
             int(entry[2:])
-            for entry in names
-            if entry.startswith("v=") and fs.exists(done(folder, f"{entry}/_SUCCESS"))
+            for entry in entries
+            if entry.startswith("v=") and fs.exists(self._hadoop(f"{folder}/{entry}/{MARKER}")[0])
         )
 
     def path(self, name: str) -> str | None:
@@ -61,32 +66,40 @@ class TableStore:
     def replace(self, name: str, df: DataFrame, sort_by: str | None = None) -> bool:
         """Write a new version; an empty input leaves the table as it is and returns False.
 
-        Versions are numbered one up, so concurrent writers of one table are not supported.
+        The rows are counted while they are written, so the input is computed once. Versions are
+        numbered one up: one writer per table at a time.
         """
-        if df.isEmpty():
-            return False
         versions = self._versions(name)
         target = f"{self.root}/{name}/v={versions[-1] + 1 if versions else 0}"
+        written = Observation()
         out = df.sortWithinPartitions(sort_by) if sort_by else df
-        # `overwrite` clears what an uncommitted earlier attempt may have left behind.
-        out.write.mode("overwrite").parquet(target)
+        # `overwrite` clears what an attempt without a marker may have left behind.
+        counted = out.observe(written, F.count(F.lit(1)).alias("rows"))
+        counted.write.mode("overwrite").parquet(target)
+        if not written.get["rows"]:
+            return False
+        marker, fs = self._hadoop(f"{target}/{MARKER}")
+        fs.create(marker, False).close()
         return True
 
+    def append(self, name: str, new: DataFrame) -> None:
+        """Add rows to the current version as files of their own; columns it lacks, or a table not
+        written yet, force a full new version. A rerun must bring only what is missing."""
+        stored, path = self.read(name), self.path(name)
+        if path is None or set(new.columns) - set(stored.columns):
+            self.replace(name, union_sources(stored, new))
+        else:
+            union_sources(stored.limit(0), new).write.mode("append").parquet(path)
+
     def insert_articles(self, incoming: DataFrame, name: str = "news_articles") -> int:
         """Add articles whose key is not stored; returns how many were added.
 
-        Only the new rows are written, as files added to the current version. A rerun after a
-        failure finds the rows that made it and adds the rest. Columns the table does not have
-        force a full new version instead.
+        Only the new rows are written. A rerun after a failure finds the rows that made it and adds
+        the rest.
         """
-        stored = self.read(name)
-        path = self.path(name)
+        stored = with_article_hash(self.read(name))
         before = stored.count()
-        if path is None or set(incoming.columns) - set(stored.columns):
-            self.replace(name, insert_if_absent(stored, incoming))
-        else:
-            new = union_sources(stored.limit(0), absent_articles(incoming, stored))
-            new.write.mode("append").parquet(path)
+        self.append(name, absent_articles(incoming, stored))
         return self.read(name).count() - before
 
     def upsert_scores(

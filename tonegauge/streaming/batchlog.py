@@ -44,6 +44,10 @@ class BatchLog:
             rows = rows.filter(F.col(BATCH) <= upto)
         return rows
 
+    def read_batch(self, batch_id: int) -> DataFrame:
+        """The rows of one finished batch."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{BATCH}={batch_id}")
+
     def latest(self, keys: Sequence[str]) -> DataFrame:
         """One current row per key, for logs that hold a key once per batch."""
         return first_per_key(self.read(), keys, [F.desc(BATCH)]).drop(BATCH)

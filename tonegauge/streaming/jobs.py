@@ -11,9 +11,12 @@ from pyspark.sql.types import StructType, TimestampNTZType
 
 from tonegauge.config import EngineConfig
 from tonegauge.functions.weights import half_life_weight
+from tonegauge.operators.cleaning import clean_articles
 from tonegauge.operators.dedup import first_per_key, only_new
 from tonegauge.operators.filters import recent
+from tonegauge.operators.maintenance import with_headline_hash
 from tonegauge.operators.risk import alerts, summary_from_rollup
+from tonegauge.operators.scoring import score_incremental
 from tonegauge.operators.temporal import (
     daily_from_rollup,
     daily_rollup,
@@ -121,8 +124,7 @@ class RiskStream:
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         self.rollups.write(daily_rollup(batch, weighted=False), batch_id)
         logged = self.rollups.read(upto=batch_id)
-        touched = logged.filter(F.col("batch_id") == batch_id)
-        since = touched.groupBy("entity").agg(F.min("date").alias("__since"))
+        since = self.rollups.read_batch(batch_id).groupBy("entity").agg(F.min("date").alias("__since"))
         current = merge_rollups(logged.join(since, "entity", "left_semi"))
         self._update_zscores(current, since, batch_id)
         self._update_alerts(current, batch_id)
@@ -166,3 +168,37 @@ class RiskStream:
         self.zscores.compacted(other.zscores.path, self.zscores.latest(["entity", "date"]), upto)
         self.alerts.compacted(other.alerts.path, self.current_alerts(), upto)
         return other
+
+    def summary(self, as_of=None) -> DataFrame:
+        """Composite risk of all entities from the sums."""
+        sums = self.weigh(merge_rollups(self.rollups.read()), as_of)
+        return summary_from_rollup(sums, self.config.profile)
+
+
+class RefreshStream(RiskStream):
+    """The periodic run as a stream: clean, keep unseen headlines, score them, update the risk.
+
+    A run costs its new articles, one look at the stored keys and the daily sums; neither stored
+    texts nor stored scores are read again. `schema` is that of the scored rows to keep.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        score: Callable[[DataFrame], DataFrame],
+        order_by: Sequence[Column],
+        schema: StructType,
+        as_of=None,
+        config: EngineConfig | None = None,
+    ):
+        super().__init__(spark, root, as_of, config)
+        self.score = score
+        self.order_by = order_by
+        self.scored = BatchLog(spark, f"{root}/scored", schema)
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        articles = with_headline_hash(clean_articles(batch, self.order_by, daily=True))
+        fresh = score_incremental(articles, self.scored.read(before=batch_id), self.score)
+        self.scored.write(fresh, batch_id)
+        super().handle(self.scored.read_batch(batch_id), batch_id)
