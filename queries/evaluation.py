@@ -11,6 +11,7 @@ from tonegauge.functions.hashing import headline_hash
 from tonegauge.functions.probabilities import argmax_label
 from tonegauge.operators import evaluation as E
 from tonegauge.operators import scoring as S
+from tonegauge.session import materialise
 from tonegauge.operators.training import evaluate_model, train_classifier
 
 
@@ -149,7 +150,9 @@ def _classification_report(spark, sf):
 
 
 def _split_documents(spark, sf):
-    return E.stratified_split(labelled_doc(spark, sf), "true_label", "doc_id")
+    return materialise(
+        E.stratified_split(labelled_doc(spark, sf), "true_label", "doc_id"), "split"
+    )
 
 
 @query("train_classifier")

@@ -167,7 +167,11 @@ def _stream_alerts(spark, sf):
 @query("stream_full_run", f"{RUN_SERIES}, {RISK(source='run')} SELECT * FROM risk")
 def _stream_full_run(spark, sf):
     """Events arrive as unscored articles; the stream cleans, scores and sums them up."""
-    articles = run_events(spark, sf)
+    events = run_events(spark, sf)
+    keys = columns(article_hash="string", headline_hash="string")
+    articles = columns(
+        **{f.name: f.dataType for f in [*events.schema.fields, *keys.fields]}
+    )
     kept = columns(
         entity="string",
         date="date",
@@ -176,7 +180,7 @@ def _stream_full_run(spark, sf):
         sentiment_score="double",
     )
     state = J.RefreshStream(
-        spark, run_dir(spark, "refresh"), score_events, [F.col("event_id")], kept, AS_OF
+        spark, run_dir(spark, "refresh"), score_events, [F.col("event_id")], articles, kept, AS_OF
     )
-    drained(spark, landed(spark, articles), state.handle)
+    drained(spark, landed(spark, events), state.handle)
     return state.summary()

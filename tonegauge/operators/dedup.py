@@ -39,3 +39,17 @@ def only_new(incoming: DataFrame, stored: DataFrame, keys: Sequence[str]) -> Dat
     and the adaptive skew join may split a hot key on the left.
     """
     return incoming.join(distinct_keys(stored, keys), list(keys), "left_anti")
+
+
+def only_new_to_history(
+    incoming: DataFrame, history: DataFrame, keys: Sequence[str]
+) -> DataFrame:
+    """`only_new` for a batch against a much longer history.
+
+    The history is first cut down to the keys of the batch. That is a semi join with the small side
+    on the right, so the history is filtered where it is read (by broadcast, or by the run-time
+    filter of a shuffled join) and only matching keys travel on. `incoming` is read twice: pass
+    rows that have been written.
+    """
+    met = history.select(*keys).join(distinct_keys(incoming, keys), list(keys), "left_semi")
+    return incoming.join(met.distinct(), list(keys), "left_anti")

@@ -12,6 +12,7 @@ from tonegauge.functions.probabilities import CLASS_ORDER
 from tonegauge.operators.evaluation import classification_report
 from tonegauge.operators.filters import MIN_LABELLED_ROWS, labelled_rows
 from tonegauge.operators.scoring import score_with_model
+from tonegauge.session import materialise
 
 FEATURES = 1 << 16
 
@@ -26,9 +27,11 @@ def train_classifier(
 ) -> PipelineModel:
     """Fit tokens -> hashed counts -> IDF -> multinomial regression on the labelled rows.
 
+    The labelled rows are written once, as every stage and every iteration comes back to them.
     Class indexes follow the fixed class order, so model probabilities need no reordering.
     """
-    rows = labelled_rows(df, label, MIN_LABELLED_ROWS)
+    rows = materialise(labelled_rows(df, label).select(text, label), "training")
+    labelled_rows(rows, label, MIN_LABELLED_ROWS)
     names = F.array(*[F.lit(name) for name in CLASS_ORDER])
     index = (F.array_position(names, F.col(label)) - 1).cast("double")
     stages = [

@@ -10,13 +10,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType, TimestampNTZType
 
 from tonegauge.config import EngineConfig
+from tonegauge.functions.hashing import article_hash
 from tonegauge.functions.weights import half_life_weight
 from tonegauge.operators.cleaning import clean_articles
-from tonegauge.operators.dedup import first_per_key, only_new
+from tonegauge.operators.dedup import first_per_key, only_new, only_new_to_history
 from tonegauge.operators.filters import recent
 from tonegauge.operators.maintenance import with_headline_hash
 from tonegauge.operators.risk import alerts, summary_from_rollup
-from tonegauge.operators.scoring import score_incremental
 from tonegauge.operators.temporal import (
     daily_from_rollup,
     daily_rollup,
@@ -176,10 +176,11 @@ class RiskStream:
 
 
 class RefreshStream(RiskStream):
-    """The periodic run as a stream: clean, keep unseen headlines, score them, update the risk.
+    """The periodic run as a stream: clean, keep new articles, score unseen headlines, update risk.
 
-    A run costs its new articles, one look at the stored keys and the daily sums; neither stored
-    texts nor stored scores are read again. `schema` is that of the scored rows to keep.
+    A run costs its new articles, a look at the stored keys and the daily sums; neither stored
+    texts nor stored scores are read again. The schemas name the columns to keep; articles get
+    `article_hash` and `headline_hash`, scored rows `headline_hash`.
     """
 
     def __init__(
@@ -188,17 +189,28 @@ class RefreshStream(RiskStream):
         root: str,
         score: Callable[[DataFrame], DataFrame],
         order_by: Sequence[Column],
-        schema: StructType,
+        article_schema: StructType,
+        scored_schema: StructType,
         as_of=None,
         config: EngineConfig | None = None,
     ):
         super().__init__(spark, root, as_of, config)
         self.score = score
         self.order_by = order_by
-        self.scored = BatchLog(spark, f"{root}/scored", schema)
+        self.arrived = BatchLog(spark, f"{root}/arrived", article_schema)
+        self.articles = BatchLog(spark, f"{root}/articles", article_schema)
+        self.scored = BatchLog(spark, f"{root}/scored", scored_schema)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        articles = with_headline_hash(clean_articles(batch, self.order_by, daily=True))
-        fresh = score_incremental(articles, self.scored.read(before=batch_id), self.score)
-        self.scored.write(fresh, batch_id)
+        cleaned = with_headline_hash(clean_articles(batch, self.order_by, daily=True))
+        parts = [F.col(name) for name in ("headline", "entity", "date", "source")]
+        self.arrived.write(cleaned.withColumn("article_hash", article_hash(*parts)), batch_id)
+        articles = only_new_to_history(
+            self.arrived.read_batch(batch_id), self.articles.read(before=batch_id), ["article_hash"]
+        )
+        self.articles.write(articles, batch_id)
+        unseen = only_new_to_history(
+            self.articles.read_batch(batch_id), self.scored.read(before=batch_id), ["headline_hash"]
+        )
+        self.scored.write(self.score(unseen), batch_id)
         super().handle(self.scored.read_batch(batch_id), batch_id)
