@@ -11,6 +11,7 @@ from tonegauge.operators.risk import risk_summary_direct
 from tonegauge.operators.scoring import score_columns
 from tonegauge.operators.temporal import daily_rollup, temporal_risk
 from tonegauge.schemas import columns
+from tonegauge.sources.feeds import read_payload_files
 from tonegauge.streaming import jobs as J
 from tonegauge.streaming.batchlog import BatchLog
 
@@ -180,3 +181,33 @@ def test_refresh_interval_is_the_trigger(spark, tmp_path):
 
     J.periodic(Writer())
     assert seen == {"processingTime": "60 minutes"}
+
+
+def test_feed_stream_remembers_what_it_kept(spark, tmp_path):
+    item = "<item><title>Headline {} about the company</title><pubDate>2024-01-10</pubDate><link>u</link></item>"
+
+    def put(name, numbers):
+        folder = tmp_path / "in" / "entity=acme"
+        folder.mkdir(parents=True, exist_ok=True)
+        body = "".join(item.format(f"{n:02d}") for n in numbers)
+        (folder / name).write_text(f"<rss><channel>{body}</channel></rss>")
+
+    def payloads():
+        return read_payload_files(spark, str(tmp_path / "in"))
+
+    put("a.xml", range(25))
+    log = BatchLog(
+        spark,
+        f"{tmp_path}/log",
+        columns(date="date", entity="string", headline="string", true_label="string", source="string", url="string", hash="string"),
+    )
+    order = [F.col("file"), F.col("position")]
+    handle = J.ingest_forever(log, order, "2024-01-11 00:00:00")
+    handle(payloads(), 0)
+    assert log.read().count() == 20
+    put("b.xml", range(22, 28))
+    for _ in range(2):
+        handle(payloads(), 1)
+    found = [r.headline[9:11] for r in log.read().orderBy("headline").collect()]
+    assert found == [f"{n:02d}" for n in range(28)]
+    assert {r.entity for r in log.read().collect()} == {"acme"}

@@ -15,7 +15,7 @@ PUBLISHER_SUFFIX_CURRENT = r"\s[-–]\s[A-Za-z0-9.&\- ]{2,50}$"
 PUBLISHER_SUFFIX_LOADER = r"\s[-–]\s[A-Z][A-Za-z &]{2,35}$"
 TAG = r"<[^>]+>"
 NUMBER = r"\p{Nd}+(\.\p{Nd}+)?"
-PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]+"
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 DEFAULT_PUBLISHER = "Google News"
 

@@ -25,11 +25,14 @@ def min_text_length(
     return df.filter((F.char_length(text) >= at_least) & (F.lower(text) != PLACEHOLDER))
 
 
-def recent(df: DataFrame, instant: str, as_of, max_age_days: int = 7) -> DataFrame:
-    """Keep rows whose whole-day age lies in 0..max_age_days. The bounds are on the bare column,
-    so they reach the file scan when `as_of` is a literal."""
-    end = as_of if isinstance(as_of, Column) else F.to_timestamp(F.lit(as_of))
-    start = end - F.make_interval(days=F.lit(max_age_days + 1))
+def recent(df: DataFrame, instant: str, as_of=None, max_age_days: int = 7) -> DataFrame:
+    """Keep rows whose whole-day age lies in 0..max_age_days; without `as_of` the age is that of
+    now (of the batch, on a stream). The bounds are on the bare column, so they reach the scan."""
+    if as_of is None:
+        end = F.current_timestamp()
+    else:
+        end = as_of if isinstance(as_of, Column) else F.to_timestamp(F.lit(as_of))
+    start = end - F.make_dt_interval(F.lit(max_age_days + 1))
     return df.filter((F.col(instant) <= end) & (F.col(instant) > start))
 
 

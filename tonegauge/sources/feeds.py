@@ -45,6 +45,16 @@ def read_rss_files(spark: SparkSession, path: str) -> DataFrame:
     ).filter(F.col("title") != "")
 
 
+def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed payload documents, one row per file: `payload`, the file name, and whatever the
+    folders name (`entity=<name>/`). A payload is one fetched feed page, hence small."""
+    files = spark.read.option("wholetext", True).text(path)
+    named = [name for name in files.columns if name != "value"]
+    return files.select(
+        *named, F.col("_metadata.file_name").alias("file"), F.col("value").alias("payload")
+    )
+
+
 def parse_rss_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Items of one RSS document per row, with their feed position; a broken document has none."""
     root = F.from_xml(F.col(payload), RSS_PAYLOAD.simpleString(), {"mode": "PERMISSIVE"})
@@ -97,7 +107,7 @@ def _first_unseen(rows: DataFrame, seen: DataFrame | None, order_by: list[Column
 def ingest_feed(
     items: DataFrame,
     order_by: list[Column],
-    as_of,
+    as_of=None,
     seen: DataFrame | None = None,
     max_per_entity: int = MAX_PER_ENTITY,
     max_age_days: int = 7,

@@ -26,6 +26,7 @@ from tonegauge.operators.temporal import (
     temporal_from_rollup,
 )
 from tonegauge.schemas import ALERTS, DAILY_ROLLUP, TEMPORAL
+from tonegauge.sources.feeds import ingest_feed, parse_rss_payloads
 from tonegauge.streaming.batchlog import BatchLog
 
 Handler = Callable[[DataFrame, int], None]
@@ -63,7 +64,7 @@ def drain(writer: DataStreamWriter, checkpoint: str) -> None:
 
 
 def recent_stream(
-    stream: DataFrame, as_of, event_time: str = "ts", max_age_days: int = 7
+    stream: DataFrame, as_of=None, event_time: str = "ts", max_age_days: int = 7
 ) -> DataFrame:
     """Drop late rows: the filter is exact, the watermark bounds the state of later operators."""
     return recent(stream, event_time, as_of, max_age_days).withWatermark(
@@ -89,6 +90,32 @@ def dedup_forever(log: BatchLog, keys: Sequence[str], order_by: Sequence[Column]
     return handle
 
 
+def ingest_forever(
+    log: BatchLog,
+    order_by: Sequence[Column],
+    as_of=None,
+    config: EngineConfig | None = None,
+) -> Handler:
+    """Landed RSS payloads (`entity`, `payload`) to new articles, each kept once for good.
+
+    The log of kept articles is the seen table, so items beyond the cap of a batch stay new.
+    """
+    config = config or EngineConfig()
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        articles = ingest_feed(
+            parse_rss_payloads(batch),
+            order_by,
+            as_of,
+            seen=log.read(before=batch_id),
+            max_per_entity=config.max_articles_per_entity,
+            max_age_days=config.max_age_days,
+        )
+        log.write(articles, batch_id)
+
+    return handle
+
+
 def upsert_into(log: BatchLog) -> Handler:
     """Replace-by-key sink; read it with `latest_batch_rows(keys)`."""
     return log.write
