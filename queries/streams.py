@@ -1,13 +1,16 @@
 """Streaming jobs over EV, landed in three parts that follow each other in time.
 
-Each query lands every event, runs its job over one file after the other, and returns what a reader
-of the sink sees afterwards; its SQL is the batch answer over the same table.
+Each query lands every event, lets its job catch up after each part, and returns what a reader of
+the sink sees afterwards; its SQL is the batch answer over the same table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from queries.base import (
     AS_OF,
@@ -35,18 +38,27 @@ from tonegauge.streaming.batchlog import BatchLog
 PARTS = (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01"))
 
 
-def landed(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Stream over the events, one file per time range and one file per batch."""
-    folder = run_dir(spark, "landed")
+def played(
+    spark: SparkSession,
+    events: DataFrame,
+    start: Callable[[DataFrame], DataStreamWriter],
+) -> None:
+    """Land one part after the other and let the job catch up each time, from one checkpoint."""
+    folder, checkpoint = run_dir(spark, "landed"), run_dir(spark, "offsets")
     for first, end in PARTS:
         part = events.filter((F.col("ts") >= first) & (F.col("ts") < end))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return J.landed_files(spark, folder, events.schema, files_per_trigger=1)
+        part.write.mode("append").parquet(folder)
+        J.drain(start(J.landed_files(spark, folder, events.schema)), checkpoint)
+
+
+def handled(handle: J.Handler, prepare=lambda stream: stream, mode: str = "append"):
+    """A writer that passes every prepared batch to the handler."""
+    return lambda stream: prepare(stream).writeStream.outputMode(mode).foreachBatch(handle)
 
 
-def drained(spark: SparkSession, stream: DataFrame, handle, mode: str = "append") -> None:
-    writer = stream.writeStream.outputMode(mode).foreachBatch(handle)
-    J.drain(writer, run_dir(spark, "offsets"))
+def filed(path: str, prepare):
+    """A writer that appends the prepared rows to Parquet files."""
+    return lambda stream: prepare(stream).writeStream.format("parquet").option("path", path)
 
 
 @query(
@@ -54,11 +66,10 @@ def drained(spark: SparkSession, stream: DataFrame, handle, mode: str = "append"
     f"""WITH {EV} SELECT event_id, entity, {ISO()}, {R6('sentiment_score', 'sentiment_score')} FROM ev""",
 )
 def _stream_ingest(spark, sf):
-    out = run_dir(spark, "ingested")
-    rows = landed(spark, ev(spark, sf)).select("event_id", "entity", "date", "sentiment_score")
-    J.drain(rows.writeStream.format("parquet").option("path", out), run_dir(spark, "offsets"))
-    back = spark.read.schema(rows.schema).parquet(out)
-    return rounded(back, "sentiment_score")
+    out, rows = run_dir(spark, "ingested"), ev(spark, sf)
+    names = ("event_id", "entity", "date", "sentiment_score")
+    played(spark, rows, filed(out, lambda stream: stream.select(*names)))
+    return rounded(spark.read.schema(rows.select(*names).schema).parquet(out), "sentiment_score")
 
 
 @query(
@@ -67,11 +78,10 @@ def _stream_ingest(spark, sf):
 )
 def _stream_dedup(spark, sf):
     """First event of each headline over the life of the stream."""
-    rows = with_headline_hash(landed(spark, ev(spark, sf))).select("event_id", "headline_hash")
-    log = BatchLog(
-        spark, run_dir(spark, "firsts"), columns(event_id="long", headline_hash="string")
-    )
-    drained(spark, rows, J.dedup_forever(log, ["headline_hash"], [F.col("event_id")]))
+    kept = columns(event_id="long", headline_hash="string")
+    log = BatchLog(spark, run_dir(spark, "firsts"), kept)
+    handle = J.dedup_forever(log, ["headline_hash"], [F.col("event_id")])
+    played(spark, ev(spark, sf), handled(handle, with_headline_hash))
     return log.read().drop("batch_id")
 
 
@@ -82,10 +92,13 @@ def _stream_dedup(spark, sf):
 def _stream_dedup_within(spark, sf):
     """Distinct headlines of the last days by watermarked state: those rows lie within one delay."""
     out = run_dir(spark, "within")
-    stream = landed(spark, ev(spark, sf)).filter(F.col("ts") >= "2024-01-25")
-    rows = J.dedup_within(stream, ["headline"]).select("headline")
-    J.drain(rows.writeStream.format("parquet").option("path", out), run_dir(spark, "offsets"))
-    return spark.read.schema(rows.schema).parquet(out)
+
+    def prepare(stream):
+        recent = stream.filter(F.col("ts") >= "2024-01-25")
+        return J.dedup_within(recent, ["headline"]).select("headline")
+
+    played(spark, ev(spark, sf), filed(out, prepare))
+    return spark.read.schema(columns(headline="string")).parquet(out)
 
 
 @query(
@@ -95,10 +108,12 @@ def _stream_dedup_within(spark, sf):
 )
 def _stream_late(spark, sf):
     out = run_dir(spark, "recent")
-    stream = J.recent_stream(landed(spark, ev(spark, sf)), "2024-01-20 12:00:00")
-    rows = stream.select("event_id")
-    J.drain(rows.writeStream.format("parquet").option("path", out), run_dir(spark, "offsets"))
-    return spark.read.schema(rows.schema).parquet(out)
+
+    def prepare(stream):
+        return J.recent_stream(stream, "2024-01-20 12:00:00").select("event_id")
+
+    played(spark, ev(spark, sf), filed(out, prepare))
+    return spark.read.schema(columns(event_id="long")).parquet(out)
 
 
 @query(
@@ -106,15 +121,19 @@ def _stream_late(spark, sf):
     f"""WITH {EV}, {DAILY('sentiment_score')} SELECT entity, {ISO()}, {R6('d', 'daily_avg_sentiment')} FROM daily""",
 )
 def _stream_daily(spark, sf):
-    daily = J.daily_mean_stream(landed(spark, ev(spark, sf)).withWatermark("ts", "7 days"))
-    log = BatchLog(spark, run_dir(spark, "daily"), daily.schema)
-    drained(spark, daily, log.write, mode="update")
+    daily = columns(entity="string", date="date", daily_avg_sentiment="double")
+    log = BatchLog(spark, run_dir(spark, "daily"), daily)
+
+    def prepare(stream):
+        return J.daily_mean_stream(stream.withWatermark("ts", "7 days"))
+
+    played(spark, ev(spark, sf), handled(log.write, prepare, mode="update"))
     return rounded(log.latest(["entity", "date"]), "daily_avg_sentiment")
 
 
-def _risk_stream(spark, events) -> J.RiskStream:
-    state = J.RiskStream(spark, run_dir(spark, "risk"), AS_OF)
-    drained(spark, landed(spark, events), state.handle)
+def _risk_stream(spark, events, as_of=AS_OF) -> J.RiskStream:
+    state = J.RiskStream(spark, run_dir(spark, "risk"), as_of)
+    played(spark, events, handled(state.handle))
     return state
 
 
@@ -141,11 +160,9 @@ def _stream_zscore_as_of(spark, sf):
     SELECT event_id, headline_hash, {R6('sentiment_score', 'sentiment_score')} FROM l WHERE batch = newest""",
 )
 def _stream_upsert(spark, sf):
-    rows = with_headline_hash(landed(spark, ev(spark, sf))).select(
-        "event_id", "headline_hash", "sentiment_score"
-    )
-    log = BatchLog(spark, run_dir(spark, "upserts"), rows.schema)
-    drained(spark, rows, J.upsert_into(log))
+    kept = columns(event_id="long", headline_hash="string", sentiment_score="double")
+    log = BatchLog(spark, run_dir(spark, "upserts"), kept)
+    played(spark, ev(spark, sf), handled(J.upsert_into(log), with_headline_hash))
     return rounded(log.latest_batch_rows(["headline_hash"]), "sentiment_score")
 
 
@@ -159,9 +176,7 @@ WEIGHT_FREE = "2024-01-01"
     WHERE risk_tier = 'HIGH' AND composite_risk_score >= 35 AND total_headlines >= 5""",
 )
 def _stream_alerts(spark, sf):
-    state = J.RiskStream(spark, run_dir(spark, "risk"), WEIGHT_FREE)
-    drained(spark, landed(spark, ev_by_type(spark, sf)), state.handle)
-    return state.current_alerts()
+    return _risk_stream(spark, ev_by_type(spark, sf), WEIGHT_FREE).current_alerts()
 
 
 @query("stream_full_run", f"{RUN_SERIES}, {RISK(source='run')} SELECT * FROM risk")
@@ -169,9 +184,7 @@ def _stream_full_run(spark, sf):
     """Events arrive as unscored articles; the stream cleans, scores and sums them up."""
     events = run_events(spark, sf)
     keys = columns(article_hash="string", headline_hash="string")
-    articles = columns(
-        **{f.name: f.dataType for f in [*events.schema.fields, *keys.fields]}
-    )
+    articles = columns(**{f.name: f.dataType for f in [*events.schema.fields, *keys.fields]})
     kept = columns(
         entity="string",
         date="date",
@@ -182,5 +195,5 @@ def _stream_full_run(spark, sf):
     state = J.RefreshStream(
         spark, run_dir(spark, "refresh"), score_events, [F.col("event_id")], articles, kept, AS_OF
     )
-    drained(spark, landed(spark, events), state.handle)
+    played(spark, events, handled(state.handle))
     return state.summary()

@@ -13,7 +13,7 @@ from tonegauge.operators.cleaning import clean_articles
 from tonegauge.operators.dating import with_time_weight
 from tonegauge.operators.entities import enrich_entities
 from tonegauge.operators.filters import exclude_evaluation_corpus
-from tonegauge.operators.maintenance import upsert_by_key, with_headline_hash
+from tonegauge.operators.maintenance import union_sources, with_headline_hash
 from tonegauge.operators.risk import alerts, by_risk, summary_from_rollup
 from tonegauge.operators.scoring import score_incremental
 from tonegauge.operators.summaries import source_summary
@@ -73,7 +73,8 @@ def run_current(
     """One lazy run over incoming articles and the stored scored history."""
     config = config or EngineConfig()
     fresh = score_new(incoming, stored, score, order_by)
-    return analyse(upsert_by_key(with_headline_hash(stored), fresh), as_of, config)
+    # Fresh keys are new by construction: nothing stored has to be looked up or replaced.
+    return analyse(union_sources(stored, fresh), as_of, config)
 
 
 def refresh(
