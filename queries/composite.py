@@ -51,7 +51,13 @@ def run_events(spark, sf):
     props = F.substring_index("headline", " ", -2)
     text = F.concat_ws(" ", "source", F.col("event_id").cast("string"), props, F.lit(""))
     return rows.withColumns({"headline": text, "true_label": F.lit("")}).drop(
-        "predicted_label", "sentiment_score", "model_label"
+        "predicted_label",
+        "sentiment_score",
+        "model_label",
+        "sector",
+        "prob_positive",
+        "prob_negative",
+        "prob_neutral",
     )
 
 

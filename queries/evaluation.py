@@ -11,7 +11,7 @@ from tonegauge.functions.hashing import headline_hash
 from tonegauge.functions.probabilities import argmax_label
 from tonegauge.operators import evaluation as E
 from tonegauge.operators import scoring as S
-from tonegauge.session import materialise
+from tonegauge.session import balanced, materialise
 from tonegauge.operators.training import evaluate_model, train_classifier
 
 
@@ -54,7 +54,7 @@ def scored_out(df):
 
 @query("score_batch", f"WITH {DOC}, {VOWELS} SELECT {SCORED_OUT} FROM scored")
 def _score_batch(spark, sf):
-    rows = plain_doc(spark, sf).select("doc_id", "headline")
+    rows = balanced(plain_doc(spark, sf).select("doc_id", "headline"))
     return scored_out(S.score_batch(rows, vowel_model))
 
 

@@ -22,13 +22,14 @@ from queries.base import (
     table,
 )
 from tonegauge.functions import hashing as H
-from tonegauge.functions.dates import feed_day, feed_instant
+from tonegauge.functions.dates import with_feed_dates
 from tonegauge.functions.text import (
     PUBLISHER_SUFFIX_LOADER,
     clean_headline,
     headline_of,
     publisher_of,
 )
+from tonegauge.session import balanced
 from tonegauge.operators.dating import spread_dates
 from tonegauge.operators.dedup import first_per_key, only_new, top_per_key
 from tonegauge.operators.entities import (
@@ -49,7 +50,7 @@ def _clean_headline(spark, sf):
     html = F.col("html")
     cleaned = clean_headline(html)
     suffixed = clean_headline(F.concat(html, F.lit(" - Example Times")), PUBLISHER_SUFFIX_LOADER)
-    return table(spark, sf, "pages").select(
+    return balanced(table(spark, sf, "pages")).select(
         "page_id",
         F.md5(cleaned).alias("page_md5"),
         F.char_length(cleaned).cast("long").alias("page_length"),
@@ -115,13 +116,14 @@ def _parse_dates(spark, sf):
         .otherwise(F.date_format(ts, "yyyy-MM-dd"))
     )
     rows = ev(spark, sf).select("event_id", raw.alias("raw"))
+    dated = with_feed_dates(rows, "raw", instant="instant", day="day")
     fallback = F.lit("2024-01-31").cast("date")
-    return rows.select(
+    return dated.select(
         "event_id",
         "raw",
-        F.date_format(feed_instant(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("instant"),
-        iso(feed_day(F.col("raw")), "day"),
-        iso(feed_day(F.col("raw"), fallback), "loader_day"),
+        F.date_format("instant", "yyyy-MM-dd HH:mm:ss").alias("instant"),
+        iso("day", "day"),
+        iso(F.coalesce("day", fallback), "loader_day"),
     )
 
 
@@ -191,7 +193,7 @@ FUZZY = (
     SELECT min(doc_id) AS doc_id, fingerprint FROM h GROUP BY fingerprint""",
 )
 def _dedup_fuzzy(spark, sf):
-    rows = plain_doc(spark, sf).select("doc_id", H.fuzzy_hash(F.col("headline")).alias("fingerprint"))
+    rows = balanced(plain_doc(spark, sf)).select("doc_id", H.fuzzy_hash(F.col("headline")).alias("fingerprint"))
     return first_per_key(rows, ["fingerprint"], [F.col("doc_id")])
 
 
@@ -227,7 +229,7 @@ def CASE_CONTAINS(text: str, rules, default: str) -> str:
     FROM documents""",
 )
 def _infer_entity(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text")
+    rows = balanced(table(spark, sf, "documents").select("doc_id", "text"))
     return infer_entity(rows, "text", KEYWORDS).select("doc_id", "entity")
 
 
@@ -240,7 +242,7 @@ KNOWN = ("Thand", "Queé", "Ción", "Schaft", "Tion")
     FROM documents""",
 )
 def _enrich_entities(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", "text")
+    rows = balanced(table(spark, sf, "documents").select("doc_id", "text"))
     return enrich_entities(rows, "text", KNOWN).select("doc_id", "entity")
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from datetime import date, datetime
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,17 +104,14 @@ DATES = [
 
 
 def test_feed_dates(spark):
-    raw = [d[0] for d in DATES]
-    moments = [datetime.fromisoformat(d[1]) if d[1] else None for d in DATES]
-    stamp = lambda c: F.date_format(dates.feed_instant(c), "yyyy-MM-dd HH:mm:ss")
-    found = many(spark, raw, stamp)
-    assert [datetime.fromisoformat(f) if f else None for f in found] == moments
-    assert many(spark, raw, dates.feed_day) == [d[2] for d in DATES]
-
-
-def test_unreadable_date_takes_the_fallback(spark):
-    expr = lambda c: dates.feed_day(c, F.lit("2024-01-31").cast("date"))
-    assert one(spark, "junk", expr) == date(2024, 1, 31)
+    df = spark.createDataFrame([(i, d[0]) for i, d in enumerate(DATES)], "i int, raw string")
+    out = dates.with_feed_dates(df, "raw", instant="instant", day="day")
+    assert sorted(out.columns) == ["day", "i", "instant", "raw"]
+    stamped = out.withColumn("instant", F.date_format("instant", "yyyy-MM-dd HH:mm:ss"))
+    found = {r.i: (r.instant, r.day) for r in stamped.collect()}
+    assert [found[i] for i in range(len(DATES))] == [(d[1], d[2]) for d in DATES]
+    only_day = dates.with_feed_dates(df, "raw", day="day").orderBy("i").collect()
+    assert [r.day for r in only_day] == [d[2] for d in DATES]
 
 
 def test_age_weights(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.functions.text import collapse_whitespace, strip
@@ -21,18 +21,15 @@ def _normalised(raw: Column) -> Column:
     return collapse_whitespace(F.regexp_replace(strip(raw), TRAILING_ZONE_WORD, ""))
 
 
-def _wall_clock(text: Column) -> Column:
+def _wall_clock(mail: Column, iso: Column, text: Column) -> Column:
     return F.coalesce(
-        F.try_to_timestamp(F.regexp_extract(text, MAIL_DATE, 1), F.lit(MAIL_FORMAT)),
-        F.try_to_timestamp(F.regexp_extract(text, ISO_DATE, 1), F.lit(ISO_FORMAT)),
+        F.try_to_timestamp(mail, F.lit(MAIL_FORMAT)),
+        F.try_to_timestamp(iso, F.lit(ISO_FORMAT)),
         F.try_to_timestamp(text, F.lit(DAY_FORMAT)),
     )
 
 
-def _offset_seconds(text: Column) -> Column:
-    zone = F.concat(
-        F.regexp_extract(text, MAIL_DATE, 2), F.regexp_extract(text, ISO_DATE, 2)
-    )
+def _offset_seconds(zone: Column) -> Column:
     digits = F.rpad(F.regexp_replace(zone, "[^0-9]", ""), 6, "0")
     seconds = (
         F.substring(digits, 1, 2).cast("int") * 3600
@@ -42,13 +39,33 @@ def _offset_seconds(text: Column) -> Column:
     return F.when(F.startswith(zone, F.lit("-")), -seconds).otherwise(seconds)
 
 
-def feed_instant(raw: Column) -> Column:
-    """Moment of a feed date; without a zone it is UTC, and an unknown shape is NULL."""
-    text = _normalised(raw)
-    return F.timestamp_seconds(F.unix_timestamp(_wall_clock(text)) - _offset_seconds(text))
-
+def with_feed_dates(
+    df: DataFrame, raw: str, instant: str | None = None, day: str | None = None
+) -> DataFrame:
+    """Add the moment of a feed date and its calendar day, NULL for an unknown shape.
 
-def feed_day(raw: Column, fallback: Column | None = None) -> Column:
-    """Calendar day as written in the feed's own zone; `fallback` replaces NULL when given."""
-    day = F.to_date(_wall_clock(_normalised(raw)))
-    return day if fallback is None else F.coalesce(day, fallback)
+    Without a zone the text is UTC; the day is that of the feed's own zone. The steps are columns
+    of their own so that each pattern is matched once per row.
+    """
+    text, mail, iso = F.col("__text"), F.col("__mail"), F.col("__iso")
+    steps = (
+        df.withColumn("__text", _normalised(F.col(raw)))
+        .withColumns(
+            {
+                "__mail": F.regexp_extract(text, MAIL_DATE, 1),
+                "__iso": F.regexp_extract(text, ISO_DATE, 1),
+            }
+        )
+        .withColumn("__wall", _wall_clock(mail, iso, text))
+    )
+    added = {}
+    if day:
+        added[day] = F.to_date("__wall")
+    if instant:
+        zone = F.when(mail != "", F.regexp_extract(text, MAIL_DATE, 2)).otherwise(
+            F.regexp_extract(text, ISO_DATE, 2)
+        )
+        steps = steps.withColumn("__zone", zone)
+        shift = F.when(F.col("__zone") == "", F.lit(0)).otherwise(_offset_seconds(F.col("__zone")))
+        added[instant] = F.timestamp_seconds(F.unix_timestamp("__wall") - shift)
+    return steps.withColumns(added).drop("__text", "__mail", "__iso", "__wall", "__zone")

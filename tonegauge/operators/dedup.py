@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANK = "__rank"
+_HASH = "__hash"
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
@@ -22,10 +23,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], limit: int
 ) -> DataFrame:
-    """First `limit` rows of each key in an explicit order, with the same early group limit."""
-    order = Window.partitionBy(*keys).orderBy(*order_by)
+    """First `limit` rows of each key in an explicit order, with the same early group limit.
+
+    A composite key gets its 64-bit hash as leading part: rows are then sorted by that number, and
+    long texts with a common beginning are compared only where the hashes are equal.
+    """
+    parts = list(keys)
+    if len(parts) > 1:
+        df = df.withColumn(_HASH, F.xxhash64(*keys))
+        parts = [_HASH, *parts]
+    order = Window.partitionBy(*parts).orderBy(*order_by)
     ranked = df.withColumn(_RANK, F.row_number().over(order))
-    return ranked.filter(F.col(_RANK) <= limit).drop(_RANK)
+    return ranked.filter(F.col(_RANK) <= limit).drop(_RANK, _HASH)
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonegauge.functions.dates import feed_day, feed_instant
+from tonegauge.functions.dates import with_feed_dates
 from tonegauge.functions.hashing import fuzzy_hash, ingest_hash
 from tonegauge.functions.text import (
     PUBLISHER_SUFFIX_LOADER,
@@ -87,9 +87,10 @@ def parse_news_json(payloads: DataFrame, payload: str = "payload", as_of=None) -
         ),
         PUBLISHER_SUFFIX_LOADER,
     )
-    rows = articles.select(
+    dated = with_feed_dates(articles, "publishedAt", day="__day")
+    rows = dated.select(
         *keep,
-        feed_day(F.col("publishedAt"), day(as_of)).alias("date"),
+        F.coalesce("__day", day(as_of)).alias("date"),
         headline.alias("headline"),
         F.lit("").alias("true_label"),
         F.coalesce("source.name", F.lit(UNKNOWN_SOURCE)).alias("source"),
@@ -118,16 +119,8 @@ def ingest_feed(
     not seen before, then the first `max_per_entity` of each entity. Returns the articles with
     their `hash`; only these rows belong into the seen table.
     """
-    published = feed_instant(F.col("pubDate"))
-    rows = min_text_length(
-        items.withColumns(
-            {
-                "headline": clean_headline(F.col("title")),
-                "__published": published,
-                "date": feed_day(F.col("pubDate")),
-            }
-        )
-    )
+    rows = min_text_length(items.withColumn("headline", clean_headline(F.col("title"))))
+    rows = with_feed_dates(rows, "pubDate", instant="__published", day="date")
     rows = recent(rows, "__published", as_of, max_age_days).withColumn(
         "hash", ingest_hash(F.col("headline"), F.col("entity"), F.col("date"))
     )
@@ -151,13 +144,12 @@ def ingest_feed_loader(
     `as_of`, no age limit and no cap."""
     rows = min_text_length(
         items.withColumns(
-            {
-                "headline": headline_of(F.col("title")),
-                "source": publisher_of(F.col("title")),
-                "date": feed_day(F.col("pubDate"), day(as_of)),
-            }
+            {"headline": headline_of(F.col("title")), "source": publisher_of(F.col("title"))}
         )
-    ).withColumn("hash", fuzzy_hash(F.col("headline")))
+    )
+    rows = with_feed_dates(rows, "pubDate", day="date").withColumns(
+        {"date": F.coalesce("date", day(as_of)), "hash": fuzzy_hash(F.col("headline"))}
+    )
     rows = _first_unseen(rows, seen, order_by)
     return rows.select(
         "date", "entity", "headline", F.lit("").alias("true_label"), "source", "hash"
