@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonegauge.llm.common import table
+from tonegauge.llm.embeddings import near_duplicates
 from tonegauge.llm.mixing import mix
 from tonegauge.llm.packing import best_fit_packing
 from tonegauge.llm.pii import personal_data
+from tonegauge.llm.quality import quality
+from tonegauge.llm.rules import quality_rules
+from tonegauge.llm.secrets import secrets
 from tonegauge.llm.simhash import simhash_near_dedup
 from tonegauge.llm.toxicity import toxicity
+from tonegauge.llm.warc import derived_records
 
 
 def tokenizer_path() -> str:
@@ -24,14 +29,34 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived_records(table(spark, sf_dir, "pages"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,8 +67,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
+    "op4_rules": op4_rules,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op7_pii": op7_pii,
+    "op8_embeddings": op8_embeddings,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
