@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable, Hashable
+from types import ModuleType
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,22 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+T = TypeVar("T")
+
+
+def kept_in_worker(kind: str, key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one object per kind, made anew for another key.
+
+    Functions sent by value have no module of their own in a worker, so the place is a module made there.
+    """
+    place = sys.modules.setdefault("_tonegauge_kept", ModuleType("_tonegauge_kept"))
+    held = getattr(place, kind, None)
+    if held is None or held[0] != key:
+        held = (key, make())
+        setattr(place, kind, held)
+    return held[1]
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; a null id has no fold."""
     return F.crc32(doc_id.cast("string")) % parts

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import small_batches
+from tonegauge.llm.common import kept_in_worker, small_batches
 from tonegauge.session import materialise
 
 CAPACITY, END = 2048, 0
 GROUP, ROUNDS, SLACK = 4000, 3, 8
-CACHED, LONG = 150_000, 48  # stretches a worker remembers, and their greatest length
+CACHED, LONG = 400_000, 32  # stretches a worker remembers, and their greatest length
 STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-UNUSUAL = re.compile("[\x1c-\x1f\x85᠎​-‍﻿]|<\\|endoftext\\|>")
+CONTROLS = re.compile("[\x1c-\x1f]")
+RARE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\ufeff]")
+SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -50,28 +53,20 @@ class Ids(dict):
         self.tokenizer = tokenizer
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, stretch: str) -> bytes:
         ids = self.encoded(stretch)
         if len(stretch) <= LONG:
+            if len(self) >= CACHED:
+                self.clear()
             self[stretch] = ids
         return ids
 
-    def learn(self, stretches: set[str]) -> None:
-        """Encode what a batch needs and the worker does not remember, in one call."""
-        new = [s for s in stretches if s not in self and len(s) <= LONG]
-        if len(self) + len(new) > CACHED:
-            self.clear()
-            new = [s for s in stretches if len(s) <= LONG]
-        for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self[s] = np.array(e.ids, "<u4").tobytes()
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if UNUSUAL.search(t) else STRETCH.findall(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if c)))
-        for text, stretches in zip(texts, cut):
-            yield self.encoded(text) if stretches is None else b"".join(map(self.__getitem__, stretches))
+    def text(self, text: str) -> bytes:
+        if (CONTROLS if text.isascii() else RARE).search(text) or SPECIAL in text:
+            return self.encoded(text)
+        return b"".join(map(self.__getitem__, STRETCH.findall(text)))
 
 
 def load(path: str):
@@ -88,12 +83,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     small_batches(docs.sparkSession, 200)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(load(tokenizer)), np.array([END], "<u4").tobytes()
+        ids = kept_in_worker("ids", tokenizer, lambda: Ids(load(tokenizer)))
+        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, row, got in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), ids.texts(texts)):
-                got += end
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
+                got = ids.text(text or "") + end
                 n = len(got) // 4
                 at, length = 0, n % capacity or capacity
                 for piece in range(-(-n // capacity)):

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import fold, small_batches, training_rows
+from tonegauge.llm.common import fold, kept_in_worker, small_batches, training_rows
 
 ROWS_PER_CLASS = 6000  # bound of the labelled rows that are looked at
 MAX_TOXIC_WORDS = 1500  # bound of the words that the toxic dictionary is trained on
@@ -84,6 +84,10 @@ class Lengths(dict):
         return cell
 
 
+def kept_lengths(model: Model) -> Lengths:
+    return kept_in_worker("lengths", (model.ordinary, model.toxic), lambda: Lengths(model))
+
+
 def cells(lengths: Lengths, text: str) -> np.ndarray:
     return np.fromiter(map(lengths.__getitem__, TOKENS.findall(text.lower())), np.int64)
 
@@ -163,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     model = Model(ordinary, toxic, np.zeros(CELLS * CELLS), None)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, total = Lengths(model), np.zeros((2, CELLS * CELLS), np.int64)
+        lengths, total = kept_lengths(model), np.zeros((2, CELLS * CELLS), np.int64)
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 total[y] += np.bincount(cells(lengths, text), minlength=CELLS * CELLS)
@@ -182,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     spec = "doc_id long, y int, f array<double>"
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(model)
+        lengths = kept_lengths(model)
         for batch in batches:
             f = [features(model.ratios[cells(lengths, text)]) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(f, pa.list_(pa.float64()))], ["doc_id", "y", "f"])
@@ -211,7 +215,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(model)
+        lengths = kept_lengths(model)
         for batch in batches:
             x = np.array([[*features(model.ratios[cells(lengths, t or "")]), 1.0] for t in batch.column("text").to_pylist()]).reshape(-1, len(model.weights))
             s = 1.0 / (1.0 + np.exp(-np.clip(x @ model.weights, -30, 30)))
@@ -235,7 +239,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = Lengths(model)
+        lengths = kept_lengths(model)
         for batch in batches:
             x = np.array([[*features(model.ratios[cells(lengths, t or "")]), 1.0] for t in batch.column(at).to_pylist()]).reshape(-1, len(model.weights))
             s = 1.0 / (1.0 + np.exp(-np.clip(x @ model.weights, -30, 30)))
