@@ -39,8 +39,9 @@ CAPACITY, END = 2048, 0
 GROUP, ROUNDS, SLACK = 4000, 3, 8
 CACHED, LONG = 400_000, 32  # stretches a worker remembers, and their greatest length
 STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CONTROLS = re.compile("[\x1c-\x1f]")
-RARE = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\ufeff]")
+PLAIN_TROUBLE = re.compile("[\x09\x0b-\x0d\x1c-\x1f]")  # in ASCII: white space but the space and the line end
+TROUBLE = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
+DIFFERENT = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\ufeff]")  # white space to one side only, or near it
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -64,7 +65,13 @@ class Ids(dict):
         return ids
 
     def text(self, text: str) -> bytes:
-        if (CONTROLS if text.isascii() else RARE).search(text) or SPECIAL in text:
+        if SPECIAL in text:
+            return self.encoded(text)
+        if not (PLAIN_TROUBLE if text.isascii() else TROUBLE).search(text) and not any(x in text for x in ("  ", " \n", "\n ")):
+            # Single spaces: every one of them opens a stretch.
+            first, *rest = text.split(" ")
+            return self.encoded(first) + b"".join([self[w] for w in map(" ".__add__, rest)])
+        if DIFFERENT.search(text):
             return self.encoded(text)
         return b"".join(map(self.__getitem__, STRETCH.findall(text)))
 

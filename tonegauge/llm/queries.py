@@ -13,7 +13,7 @@ from tonegauge.llm.packing import best_fit_packing
 from tonegauge.llm.pii import personal_data
 from tonegauge.llm.quality import quality
 from tonegauge.llm.rules import quality_rules
-from tonegauge.llm.secrets import secrets
+from tonegauge.llm.secret_scan import secrets
 from tonegauge.llm.simhash import simhash_near_dedup
 from tonegauge.llm.toxicity import toxicity
 from tonegauge.llm.warc import derived_records
