@@ -43,6 +43,17 @@ PLAIN_TROUBLE = re.compile("[\x09\x0b-\x0d\x1c-\x1f]")  # in ASCII: white space
 TROUBLE = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]")
 DIFFERENT = re.compile("[\x1c-\x1f\x85\u180e\u200b-\u200d\ufeff]")  # white space to one side only, or near it
 SPECIAL = "<|endoftext|>"
+WORD_STRETCH = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?]*)")
+
+
+def _byte_chars() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256 and up in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
 
@@ -57,7 +68,13 @@ class Ids(dict):
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = self.encoded(stretch)
+        word = WORD_STRETCH.fullmatch(stretch)
+        if word is None:
+            ids = self.encoded(stretch)
+        else:  # letters are one unit to the tokenizer's first step, and marks behind them another
+            letters, marks = word.groups()
+            found = self.tokenizer.model.tokenize(letters.encode().decode("latin-1").translate(BYTE_CHARS))
+            ids = array("I", [t.id for t in found]).tobytes() + (self[marks] if marks else b"")
         if len(stretch) <= LONG:
             if len(self) >= CACHED:
                 self.clear()
