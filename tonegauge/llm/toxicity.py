@@ -3,7 +3,7 @@
 Training (on a bounded sample of labelled rows, `ROWS_PER_CLASS` of either class):
 1. One half of the rows gives the dictionary texts: windows of ordinary documents, and the windows of
    toxic documents whose words occur in toxic documents far above their rate in ordinary ones. One
-   dictionary is trained on each.
+   dictionary is trained on each; the strongest of the toxic words also stand verbatim at the end of theirs.
 2. The other half calibrates. A window (a word, lower-cased, in UTF-16, behind a frame that both
    dictionaries hold, so that the fixed cost of a block cancels) is compressed with either dictionary.
    The pair of lengths has a log-likelihood ratio, toxic against ordinary, counted over that half.
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from tonegauge.llm.common import fold, kept_in_worker, small_batches, training_rows
 
 ROWS_PER_CLASS = 6000  # bound of the labelled rows that are looked at
-MAX_TOXIC_WORDS = 1500  # bound of the words that the toxic dictionary is trained on
-ORDINARY_BYTES, TOXIC_BYTES = 4096, 16384  # dictionary sizes
+MAX_TOXIC_WORDS = 400  # bound of the words that the toxic dictionary is trained on
+# Dictionary sizes: above about 8 KB zstandard no longer finds what these short windows share with them.
+ORDINARY_BYTES, TOXIC_BYTES, VERBATIM_BYTES = 4096, 4096, 2048
 MIN_DOCS, MIN_LOG_ODDS = 4, 2.5
 LEVEL, FRAME, CELLS = 9, 32, 64
 ENCODING = "utf-16-le"
@@ -158,12 +159,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     )
     runs = [r["word"] for r in seen.where("run").select("word").orderBy(F.xxhash64("word"), "word").limit(20_000).collect()]
     ordinary = _dictionary([f" {x} ".encode(ENCODING, "surrogatepass") for x in runs], ORDINARY_BYTES, 64)
-    # The strongest words last: zstandard reaches the end of a dictionary at the least cost.
-    toxic = _dictionary(
-        [f" {r['word']} ".encode(ENCODING, "surrogatepass") for r in reversed(marked) for _ in range(min(r["toxic"], 20))],
-        TOXIC_BYTES,
-        32,
-    )
+    # zstandard's trainer weighs by frequency and leaves marked words out at random once there are many of
+    # them (held-out recall 0.11 to 0.81 with its dictionary alone, 0.98 with the words behind it), so the
+    # strongest words follow verbatim, the strongest of all last, where a match costs least.
+    words = [f" {r['word']} ".encode(ENCODING, "surrogatepass") for r in reversed(marked)]
+    trained = _dictionary([w for w, r in zip(words, reversed(marked)) for _ in range(min(r["toxic"], 500))], TOXIC_BYTES - VERBATIM_BYTES, 16)
+    toxic = trained + b"".join(words)[-VERBATIM_BYTES:]
     model = Model(ordinary, toxic, np.zeros(CELLS * CELLS), None)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
