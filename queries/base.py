@@ -19,7 +19,6 @@ from tonegauge.functions.text import WHITESPACE
 from tonegauge.functions.weights import half_life_weight
 
 AS_OF = "2024-01-31"
-STORED_UNTIL = "2024-01-15"  # history already stored before an incoming batch arrives
 
 Build = Callable[[SparkSession, str], DataFrame]
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from queries.base import DOC, EV, R6, STRIP, ev, labelled_doc, plain_doc, query, r6, rounded
@@ -14,6 +17,9 @@ from tonegauge.operators import scoring as S
 from tonegauge.session import balanced, materialise
 from tonegauge.operators.training import evaluate_model, train_classifier
 
+# The predictor travels to the workers by value: they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def vowel_model():
     """A stand-in for a user's classifier: softmax of the shares of e, a and o in the whole text."""

@@ -49,18 +49,18 @@ def _insert_if_absent(spark, sf):
 
 @query(
     "upsert_by_key",
-    f"""WITH {EV}, s AS (SELECT *, md5(lower(headline)) AS h FROM ev WHERE date <= DATE '2024-01-15'),
+    f"""WITH {EV}, s AS (SELECT *, md5(lower(headline)) AS h FROM ev),
     i AS (SELECT *, md5(lower(headline)) AS h FROM ev WHERE source IN ('error', 'purchase'))
     SELECT event_id, h AS headline_hash, {R6('sentiment_score', 'sentiment_score')}, 'stored' AS origin FROM s
     WHERE h NOT IN (SELECT h FROM i)
     UNION ALL SELECT event_id, h, {R6('sentiment_score * 2', 'sentiment_score')}, 'incoming' FROM i""",
 )
 def _upsert_by_key(spark, sf):
-    """History up to a day; re-scored errors and purchases of the whole table replace theirs."""
+    """The whole table as history; re-scored errors and purchases replace theirs."""
     rows = M.with_headline_hash(ev(spark, sf)).select(
         "event_id", "headline_hash", "sentiment_score", "date", "source"
     )
-    stored = rows.filter(F.col("date") <= "2024-01-15").withColumn("origin", F.lit("stored"))
+    stored = rows.withColumn("origin", F.lit("stored"))
     incoming = rows.filter(F.col("source").isin("error", "purchase")).withColumns(
         {"sentiment_score": F.col("sentiment_score") * 2, "origin": F.lit("incoming")}
     )

@@ -95,9 +95,9 @@ def refresh(
     articles = with_headline_hash(clean_articles(incoming, order_by, daily=True))
     fresh = score_incremental(articles, with_headline_hash(store.read("scored_headlines")), score)
     fresh = materialise(fresh, "scored-batch")
-    added = store.insert_articles(articles.drop("headline_hash"))
-    if added:
-        store.append("scored_headlines", fresh)
+    store.insert_articles(articles.drop("headline_hash"))
+    # Whatever has no score yet, also if an earlier run stored the article and died before this step.
+    store.append("scored_headlines", fresh)
     result = analyse(store.read("scored_headlines"), as_of, config, keep_rollup=True)
     store.replace("temporal_risk", result.temporal)
     store.replace("risk_summary", result.summary)
