@@ -260,6 +260,30 @@ def labelled(spark, n, good, bad, column):
     return documents(spark, [*rows, None, ""]), labels
 
 
+def test_index_of_mixed_lengths_and_large_components(spark):
+    """Rare lengths are compared whole; doubles keep their precision and their range."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=16).tolist()) for i in range(150)]
+    rare = r.normal(size=6)
+    rows += [(200 + i, (rare + 0.01 * r.normal(size=6)).tolist()) for i in range(5)]
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert embeddings.near_duplicates(empty).count() == 0
+    big = r.normal(size=16)
+    rows += [(300, (big * 1e300).tolist()), (301, (big * 1e-300).tolist()), (302, (-big).tolist())]
+    rows += [(400, [1.0]), (401, [2.0]), (402, [-2.0])]
+    edge = [1.0] + [0.0] * 15
+    for k, cosine in enumerate((0.95 + 1e-9, 0.95 - 1e-9)):  # not to be told apart in single precision
+        rows.append((500 + k, [cosine, (1 - cosine**2) ** 0.5] + [0.0] * 14))
+    rows.append((510, edge))
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    assert [got[200 + i]["n_links"] for i in range(5)] == [4] * 5
+    assert {got[200 + i]["component_id"] for i in range(5)} == {200}
+    assert (got[300]["n_links"], got[301]["component_id"], got[302]["n_links"]) == (1, 300, 0)
+    assert (got[400]["n_links"], got[401]["component_id"], got[402]["n_links"]) == (1, 400, 0)
+    assert (got[510]["n_links"], got[500]["n_links"], got[501]["n_links"]) == (1, 2, 1)
+
+
 def test_quality_separates_held_out_rows(spark):
     docs, labels = labelled(spark, 240, lambda r: prose(r, 40), lambda r: " | ".join(prose(r, 40).upper().split()), "quality")
     got = quality.quality(docs, labels).collect()

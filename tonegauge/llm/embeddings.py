@@ -11,10 +11,13 @@
 * Equal vectors are one row with a count. A cell with many members or visitors is dealt in blocks of
   `BLOCK` by `BLOCK`; a task returns counts per vector and a spanning forest, never its pairs.
 
+Every length of vector that makes up a sixteenth of the sample or more has codebooks of its own. The other
+lengths have one cell each, which is compared whole, in the same blocks.
+
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing
-(n_links 0, a component of their own, kept); vectors of another length than the sample's most frequent
-one are compared among their own length only by equality; repeated vec_ids are rows of their own that
-share a component; an empty table gives no rows. Extra columns are ignored.
+(n_links 0, a component of their own, kept); vectors of different lengths never link; components of any
+finite size are scaled exactly before they are squared; repeated vec_ids are rows of their own that share a
+component; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tonegauge.llm.common import connected_components, small_batches
 from tonegauge.session import materialise
@@ -35,10 +39,15 @@ LIMIT, RECALL = 0.95, 0.98
 FIT_ROWS, CENTRES, ROUNDS = 4096, 32, 12
 LONGEST_WALK = 256
 BLOCK = 2048
+GRID = CENTRES * CENTRES
+INDEXED = 16  # most lengths of vector that get codebooks
+BLOCK_BITS = 20  # of a group's number, for either block
 
 
-def unit(raw: list[bytes], width: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(-1, width).astype(np.float64)
+def unit(raw: list[bytes], number: str) -> np.ndarray:
+    """Unit vectors, all of one length, from components stored as `number`."""
+    x = np.frombuffer(b"".join(raw), number).reshape(len(raw), -1).astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -85,6 +94,9 @@ def walk_length(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> int:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     small_batches(vectors.sparkSession, 2000)
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    number, item = ("<f4", 4) if single else ("<f8", 8)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,15 +104,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             for v in batch.column("embedding").to_pylist():
                 x = None
                 if v and None not in v:
-                    with np.errstate(over="ignore"):
-                        x = np.array(v, np.float64).astype("<f4")
+                    x = np.array(v, number)
                     if not (np.isfinite(x).all() and x.any()):
                         x = None
                 raw.append(None if x is None else x.tobytes())
                 key.append(None if x is None else hashlib.md5(x.tobytes()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(raw, pa.binary()), pa.array(key, pa.string())], ["vec_id", "raw", "key"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     marked = materialise(rows.mapInArrow(keyed, "vec_id long, raw binary, key string"), "vectors")
     classes = materialise(
         marked.where("key is not null and vec_id is not null")
@@ -109,34 +120,47 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         "vector-classes",
     )
     sample = classes.select("raw").orderBy(F.xxhash64("key")).limit(FIT_ROWS).toArrow().column("raw").to_pylist()
-    widths = np.array([len(r) // 4 for r in sample])
     if not len(sample):
         return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = int(np.bincount(widths).argmax())
-    x = unit([r for r in sample if len(r) == 4 * width], width)
-    books = (codebook(x[:, : width // 2], CENTRES), codebook(x[:, width // 2 :], CENTRES))
-    length = walk_length(x, books)
+    widths, counts = np.unique([len(r) // item for r in sample], return_counts=True)
+    index = {}
+    for width in widths[counts * INDEXED >= len(sample)].tolist():
+        x = unit([r for r in sample if len(r) == item * width], number)
+        books = (codebook(x[:, : width // 2], CENTRES), codebook(x[:, width // 2 :], CENTRES))
+        index[width] = (GRID * len(index), books, walk_length(x, books))
+
+    def walks_of(raw: list[bytes], width: int) -> np.ndarray:
+        if width not in index:
+            return np.full((len(raw), 1), GRID * INDEXED + width, np.int32)
+        first, books, length = index[width]
+        return walk(unit(raw, number), books, length) + np.int32(first)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            walks = walk(unit(batch.column("raw").to_pylist(), width), books, length) if len(batch) else np.zeros((0, length), np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("raw"), pa.array([w.tobytes() for w in walks], pa.binary())], ["id", "n", "raw", "walk"])
+            raw = batch.column("raw").to_pylist()
+            width = np.array([len(r) // item for r in raw])
+            walks = [b""] * len(raw)
+            for w in np.unique(width).tolist():
+                at = np.flatnonzero(width == w).tolist()
+                for k, cells in zip(at, walks_of([raw[k] for k in at], w)):
+                    walks[k] = cells.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), batch.column("raw"), pa.array(walks, pa.binary())], ["id", "n", "raw", "walk"])
 
-    indexed = materialise(classes.where(F.octet_length("raw") == 4 * width).select("id", "n", "raw").mapInArrow(visits, "id long, n long, raw binary, walk binary"), "vector-index")
+    indexed = materialise(classes.select("id", "n", "raw").mapInArrow(visits, "id long, n long, raw binary, walk binary"), "vector-index")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, CENTRES * CENTRES), np.int64)
+        total: dict[int, list[int]] = {}
         for batch in batches:
-            for w in batch.column("walk").to_pylist():
-                cells = np.frombuffer(w, np.int32)
-                total[0, cells[0]] += 1
-                total[1, cells] += 1
-        used = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["cell", "members", "visitors"])
-
-    # One row per cell of the grid at most: CENTRES ** 2, whatever the number of vectors.
+            walks = [np.frombuffer(w, np.int32) for w in batch.column("walk").to_pylist()]
+            if walks:
+                for k, cells in enumerate(([w[0] for w in walks], np.concatenate(walks))):
+                    for cell, n in zip(*(v.tolist() for v in np.unique(cells, return_counts=True))):
+                        total.setdefault(cell, [0, 0])[k] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in (0, 1))], ["cell", "members", "visitors"])
+
+    # One row per cell: GRID for each of at most INDEXED lengths, one for any other length.
     cells = indexed.mapInArrow(counted, "cell long, members long, visitors long").groupBy("cell").agg(F.sum("members").alias("members"), F.sum("visitors").alias("visitors")).collect()
-    parts = np.zeros((2, CENTRES * CENTRES), np.int64)
+    parts = np.zeros((2, max((r["cell"] for r in cells), default=0) + 1), np.int64)
     for r in cells:
         if r["members"]:
             parts[:, r["cell"]] = -(-r["members"] // BLOCK), -(-r["visitors"] // BLOCK)
@@ -151,14 +175,14 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                     m, q = parts[:, cell]
                     own = (i * 2654435761 + cell * 40503 >> 5) % int(q)
                     for block in range(m):
-                        group.append((cell * 4096 + block) * 4096 + own)
+                        group.append((cell << 2 * BLOCK_BITS) + (block << BLOCK_BITS) + own)
                         visitor.append(True)
                         at.append(k)
                 cell = int(w[0])
                 m, q = parts[:, cell]
                 own = (i * 2246822519 + cell * 40503 >> 5) % int(m)
                 for block in range(q):
-                    group.append((cell * 4096 + own) * 4096 + block)
+                    group.append((cell << 2 * BLOCK_BITS) + (own << BLOCK_BITS) + block)
                     visitor.append(False)
                     at.append(k)
             took = pa.array(at, pa.int32())
@@ -171,7 +195,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
         q, m = g[g["visitor"]], g[~g["visitor"]]
         if not len(q) or not len(m):
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "least": pd.Series(dtype="int64")})
-        a, b = unit(q["raw"].tolist(), width), unit(m["raw"].tolist(), width)
+        a, b = unit(q["raw"].tolist(), number), unit(m["raw"].tolist(), number)
         ia, ib, na, nb = q["id"].to_numpy(), m["id"].to_numpy(), q["n"].to_numpy(), m["n"].to_numpy()
         own = np.array([np.frombuffer(w[:4], np.int32)[0] for w in q["walk"]])
         walks = np.frombuffer(b"".join(m["walk"]), np.int32).reshape(len(m), -1)
