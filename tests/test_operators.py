@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
+import re
 from collections import Counter
 from datetime import date, datetime, timedelta
 
@@ -97,16 +99,31 @@ def test_entities_by_keyword(spark):
     assert words["showers in april"] == "General Market" and words["HDFC and ICICI"] == "HDFC Bank"
 
 
-def test_large_dictionary_gives_the_same_answer(spark):
-    df = spark.createDataFrame([(f"text k{i}x",) for i in range(150)], "headline string")
-    keywords = {f"E{i}": [f"k{i}", f"q{i}"] for i in range(100)}
-    assert len(N.keyword_rules(keywords)) > N.CASE_LIMIT
-
-    def expected(text):
-        return next((e for e, ws in keywords.items() if any(w in text for w in ws)), "none")
-
-    out = N.infer_entity(df, keywords=keywords, default="none").collect()
-    assert all(r.entity == expected(r.headline) for r in out) and len(out) == 150
+@pytest.mark.parametrize("size", [10, 64, 65, 1_000, 10_000])
+def test_dictionaries_of_any_size_give_the_first_rule(spark, size):
+    draw = random.Random(size)
+    letters = lambda most: "".join(draw.choices("abcd .é*", k=draw.randint(1, most)))
+    keywords = {f"E{i}": [letters(3 if size < 100 else 9).strip() or "a"] for i in range(size)}
+    texts = sorted({letters(40) for _ in range(60)} | {"", "zzz"})
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "headline string")
+    pairs = N.keyword_rules(keywords)
+    for bounded in (False, True):
+        def holds(word, text):
+            return bool(re.search(rf"(?<!\w){re.escape(word)}(?!\w)", text)) if bounded else word in text
+
+        out = N.infer_entity(df, keywords=keywords, default="none", word_boundary=bounded).collect()
+        assert len(out) == len(texts) + 1
+        for r in out:
+            expected = next((e for w, e in pairs if r.headline is not None and holds(w, r.headline)), "none")
+            assert r.entity == expected, (r.headline, bounded)
+
+
+def test_shorter_keywords_inside_longer_ones(spark):
+    df = spark.createDataFrame([("tata motors up",), ("tata motorsport",), ("atata",)], "headline string")
+    keywords = {"Group": ["tata"], "Cars": ["tata motors", "motors"]}
+    got = lambda **more: {r.headline: r.entity for r in N.infer_entity(df, keywords=keywords, default="none", **more).collect()}
+    assert set(got().values()) == {"Group"}
+    assert got(word_boundary=True) == {"tata motors up": "Group", "tata motorsport": "Group", "atata": "none"}
 
 
 def test_enrich_only_without_an_entity_column(spark):

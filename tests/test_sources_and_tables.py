@@ -35,6 +35,23 @@ def test_single_item_and_missing_fields(spark):
     assert rows(G.parse_rss_payloads(df)) == [("x", 0, "Only", "", "")]
 
 
+def test_rss_items_of_several_channels_and_beside_them(spark):
+    item = lambda t: f"<item><title>{t}</title></item>"
+    payloads = [
+        ("two", f"<rss><channel>{item('a')}</channel><channel><title>t</title></channel><channel>{item('b')}{item('c')}</channel></rss>"),
+        ("beside", f"<rdf><channel><title>t</title></channel>{item('d')}{item('e')}</rdf>"),
+        ("root", f"<feed>{item('f')}</feed>"),
+        ("both", f"<rss><channel>{item('g')}</channel>{item('h')}</rss>"),
+        ("none", "<rss></rss>"),
+    ]
+    df = spark.createDataFrame(payloads, "entity string, payload string")
+    got = G.parse_rss_payloads(df)
+    assert rows(got, "entity", "position", "title") == [
+        ("beside", 0, "d"), ("beside", 1, "e"), ("both", 0, "g"), ("both", 1, "h"), ("root", 0, "f"),
+        ("two", 0, "a"), ("two", 1, "b"), ("two", 2, "c"),
+    ]
+
+
 def test_rss_files(spark, tmp_path):
     Path(tmp_path, "a.xml").write_text(feed(("One", "d", "l"), ("", "d", "l")))
     Path(tmp_path, "b.xml").write_text(feed(("Two", "d", "l")))

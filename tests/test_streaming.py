@@ -168,6 +168,9 @@ def test_refresh_stream_scores_a_headline_once(spark, folder):
     assert state.scored.read().filter(F.col("headline_hash") == one).count() == 1
     expected = by_length(frame).withColumn("time_weight", J.half_life_weight(F.col("date"), "2024-01-31"))
     assert rows(state.summary()) == rows(risk_summary_direct(expected))
+    smaller = state.compacted(f"{folder}/compacted", 1)
+    smaller.handle(frame, 2)
+    assert smaller.scored.read().count() == 40 and rows(smaller.summary()) == rows(state.summary())
     assert daily_rollup(expected).count() == state.rollups.read().select("entity", "date").distinct().count()
 
 

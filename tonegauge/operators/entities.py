@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,9 +48,6 @@ KNOWN_ENTITIES = (
 GENERAL_MARKET = "General Market"
 UNKNOWN_ENTITY = "Unknown"
 
-# A longer dictionary is searched as one array literal instead of one CASE branch per keyword.
-CASE_LIMIT = 64
-
 Rule = tuple[str, str]
 
 
@@ -58,6 +56,39 @@ def keyword_rules(keywords: dict[str, Sequence[str]]) -> list[Rule]:
     return [(word.lower(), entity) for entity, words in keywords.items() for word in words]
 
 
+def _is_word(c: str) -> bool:
+    return c.isalnum() or c in "\u200c\u200d" or unicodedata.category(c) in ("Mn", "Me", "Mc", "Pc")
+
+
+def _trie_pattern(node: dict) -> str:
+    """Regular expression of the words below a node; the longest word that fits is tried first."""
+    ways = [
+        (c if c.isalnum() else f"\\{c}") + _trie_pattern(below)
+        for c, below in sorted(node.items())
+        if c
+    ]
+    if not ways:
+        return ""
+    joined = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+    return f"{joined}?" if "" in node else joined
+
+
+def keyword_pattern(words: Sequence[str]) -> str:
+    """One pattern for all words: what it tries at a place depends on their letters, not their number."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+    return _trie_pattern(root)
+
+
+def _listed(values: Sequence[str]) -> Column:
+    """A constant array from one literal, which Spark folds once; quick to build at any length."""
+    return F.split(F.lit("\0".join(values)), "\0", -1)
+
+
 def matched_entity(text: Column, rules: Sequence[Rule], word_boundary: bool = False) -> Column:
     """Entity of the first rule whose keyword occurs in the text, NULL if none does.
 
@@ -65,23 +96,24 @@ def matched_entity(text: Column, rules: Sequence[Rule], word_boundary: bool = Fa
     the text nor the dictionary is shuffled or joined. Matching is by substring unless
     `word_boundary` is set.
     """
-    lowered = F.lower(text)
-    if word_boundary:
-        return F.coalesce(
-            *[
-                F.when(lowered.rlike(rf"(?U)(?<!\w)\Q{word}\E(?!\w)"), F.lit(entity))
-                for word, entity in rules
-            ]
-        )
-    if len(rules) <= CASE_LIMIT:
-        return F.coalesce(
-            *[F.when(F.contains(lowered, F.lit(word)), F.lit(entity)) for word, entity in rules]
-        )
-    table = F.array(
-        *[F.struct(F.lit(w).alias("word"), F.lit(e).alias("entity")) for w, e in rules]
-    )
-    hits = F.filter(table, lambda rule: F.contains(lowered, rule["word"]))
-    return F.try_element_at(hits, F.lit(1))["entity"]
+    if not rules:
+        return F.lit(None).cast("string")
+    rank: dict[str, int] = {}
+    for at, (word, _) in enumerate(rules):
+        rank.setdefault(word, at)
+    # The pattern finds the longest word at each place; the shorter ones that start there are known from it.
+    best = {}
+    for word in rank:
+        starts = [n for n in range(len(word)) if not (word_boundary and _is_word(word[n]))]
+        best[word] = min(rank.get(word[:n], rank[word]) for n in [*starts, len(word)])
+    pattern = f"({keyword_pattern(list(rank))})"
+    pattern = rf"(?U)(?<!\w)(?={pattern}(?!\w))" if word_boundary else f"(?={pattern})"
+    hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+    places = {word: at + 1 for at, word in enumerate(best)}
+    ranks = _listed([str(best[word]) for word in places]).cast("array<int>")
+    words = _listed(list(places))
+    first = F.array_min(F.transform(hits, lambda hit: F.get(ranks, (F.array_position(words, hit) - 1).cast("int"))))
+    return F.get(_listed([entity for _, entity in rules]), first)
 
 
 def infer_entity(

@@ -76,7 +76,10 @@ ALERTS = columns(entity="string", composite_risk_score="double", alert_line="str
 REQUIRED_HEADLINE_COLUMNS = ("date", "entity", "headline", "true_label", "source")
 
 FEED_ITEM = columns(title="string", pubDate="string", link="string")
-RSS_PAYLOAD = columns(channel=columns(item=ArrayType(FEED_ITEM)))
+# Items stand in a channel, of which there may be several, or beside it.
+RSS_PAYLOAD = columns(
+    channel=ArrayType(columns(item=ArrayType(FEED_ITEM))), item=ArrayType(FEED_ITEM)
+)
 NEWS_PAYLOAD = columns(
     status="string",
     message="string",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tonegauge.functions.dates import with_feed_dates
 from tonegauge.functions.hashing import fuzzy_hash, ingest_hash
@@ -56,11 +57,23 @@ def read_payload_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_rss_payloads(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Items of one RSS document per row, with their feed position; a broken document has none."""
+    """Items of one RSS document per row, with their feed position; a broken document has none.
+
+    Items of all channels come first, in order, then those that stand beside the channels. The outer
+    explode keeps Spark from deriving a filter that would parse the document once more.
+    """
     root = F.from_xml(F.col(payload), RSS_PAYLOAD.simpleString(), {"mode": "PERMISSIVE"})
     keep = [name for name in payloads.columns if name != payload]
-    items = payloads.withColumn("__items", root["channel"]["item"]).select(
-        *keep, F.posexplode("__items").alias("position", "item")
+    none = F.array().cast(ArrayType(FEED_ITEM))
+    every = lambda doc: F.concat(
+        F.coalesce(
+            F.flatten(F.transform(doc["channel"], lambda c: F.coalesce(c["item"], none))), none
+        ),
+        F.coalesce(doc["item"], none),
+    )
+    # Bound by a lambda, the parsed document is one value however often it is looked at.
+    items = payloads.withColumn("__items", F.flatten(F.transform(F.array(root), every))).select(
+        *keep, F.posexplode_outer("__items").alias("position", "item")
     )
     return items.select(
         *keep,

@@ -188,9 +188,13 @@ class RiskStream:
         touched = self.rollups.read().groupBy("entity").agg(F.max("batch_id").alias("batch_id"))
         return self.alerts.read().join(touched, ["entity", "batch_id"]).drop("batch_id")
 
+    def opened(self, root: str) -> RiskStream:
+        """The same stream under another root."""
+        return RiskStream(self.rollups.spark, root, self.as_of, self.config)
+
     def compacted(self, root: str, upto: int) -> RiskStream:
         """A stream state under a new root whose sums are merged up to a finished batch."""
-        other = RiskStream(self.rollups.spark, root, self.as_of, self.config)
+        other = self.opened(root)
         self.rollups.compacted(other.rollups.path, merge_rollups(self.rollups.read(upto=upto)), upto)
         self.zscores.compacted(other.zscores.path, self.zscores.latest(["entity", "date"]), upto)
         self.alerts.compacted(other.alerts.path, self.current_alerts(), upto)
@@ -228,6 +232,20 @@ class RefreshStream(RiskStream):
         self.articles = BatchLog(spark, f"{root}/articles", article_schema)
         self.scored = BatchLog(spark, f"{root}/scored", scored_schema)
 
+    def opened(self, root: str) -> RefreshStream:
+        logs = (self.articles.schema, self.scored.schema)
+        return RefreshStream(
+            self.rollups.spark, root, self.score, self.order_by, *logs, self.as_of, self.config
+        )
+
+    def compacted(self, root: str, upto: int) -> RefreshStream:
+        """Sums are merged; articles and scores move on whole, for they tell what is known."""
+        other = super().compacted(root, upto)
+        for name in ("articles", "scored"):
+            log = getattr(self, name)
+            log.compacted(getattr(other, name).path, log.read(upto=upto), upto)
+        return other
+
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         cleaned = with_headline_hash(clean_articles(batch, self.order_by, daily=True))
         parts = [F.col(name) for name in ("headline", "entity", "date", "source")]
