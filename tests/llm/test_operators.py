@@ -119,6 +119,21 @@ def test_simhash_against_brute_force(spark, texts):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(least))
 
 
+def unlike_rows(spark):
+    """Six texts without likeness, under null and repeated ids, and copies of them: rows, texts to be kept."""
+    r = random.Random(11)
+    own = [prose(r, 60) for _ in range(6)]
+    ids = [None, None, None, 7, 7, 9]
+    rows = [*zip(ids, own), (None, own[5]), (8, own[3]), (None, own[0]), (None, own[1])]
+    return spark.createDataFrame([(i, t, *[None] * 7) for i, t in rows], SCHEMA), own
+
+
+def test_keep_first_keeps_every_text_under_null_and_repeated_ids(spark):
+    docs, own = unlike_rows(spark)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()]
+    assert sorted(kept, key=repr) == sorted(zip([None, None, None, 7, 7, 9], own), key=repr)
+
+
 def test_simhash_finds_every_link_of_a_crowd(spark):
     r = random.Random(2)
     centre = r.getrandbits(64)

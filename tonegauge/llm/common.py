@@ -7,7 +7,7 @@ from collections.abc import Callable, Hashable
 from types import ModuleType
 from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonegauge.session import materialise
@@ -76,6 +76,30 @@ def training_rows(
     return materialise(rows, purpose)
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """Hash of a row's content: a mark for rows whose ids are null or repeated. Equal rows share it."""
+    return F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of `docs` for each component of `found` (doc_id, row_mark, component), all columns kept.
+
+    It is the row of the smallest doc_id, null ids last, and of the smallest mark among equal ids. Rows
+    are met again by mark and id, so those without an id, or with one id and unlike texts, stay apart.
+    """
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_mark")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("__kept"), F.col("r.row_mark").alias("__kept_mark"))
+    mark, turn = "__row_mark", "__row_turn"
+    rows = docs.withColumn(mark, row_mark(docs))
+    same = (F.col(mark) == F.col("__kept_mark")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))
+    return (
+        rows.join(kept, same, "left_semi")
+        .withColumn(turn, F.row_number().over(Window.partitionBy(mark, "doc_id").orderBy(mark)))  # rows equal in every column
+        .where(F.col(turn) == 1)
+        .drop(mark, turn)
+    )
+
+
 def connected_components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """Smallest reachable id of every node of an undirected edge table (a, b): columns id, component_id.
 

@@ -29,10 +29,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.common import connected_components, small_batches
+from tonegauge.llm.common import connected_components, first_rows, row_mark, small_batches
 from tonegauge.session import materialise
 
 SHINGLE, SEED, LIMIT = 3, 42, 3
@@ -62,17 +62,19 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (signed long) of every row; one pass, no shuffle."""
+def fingerprints(docs: DataFrame, marked: bool = False) -> DataFrame:
+    """doc_id, fp (signed long) and on demand row_mark of every row; one pass, no shuffle."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "row_mark"] if marked else ["doc_id"]
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(f)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(f)], [*names, "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(computed, "doc_id long, fp long")
+    marks = [row_mark(docs).alias("row_mark")] if marked else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *marks, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(computed, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def embed(f: np.ndarray) -> np.ndarray:
@@ -214,18 +216,8 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of `docs` for each component, all columns kept: the smallest doc_id, and one row of it.
-
-    Rows without an id stay only if their whole class has none.
-    """
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), "fp").distinct()
-    mark = "__simhash_row"
-    # The id column keeps its own type; ids that are repeated leave the row that comes first by content.
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return (
-        docs.join(kept.select("__kept").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-        .withColumn(mark, F.row_number().over(order))
-        .where(F.col(mark) == 1)
-        .drop(mark)
-    )
+    """One row of `docs` for each component, all columns kept: see `common.first_rows`."""
+    marked = materialise(fingerprints(docs, marked=True), "simhash")
+    parts = connected_components(links(materialise(marked.select("fp").distinct(), "simhash-classes")), "simhash-parts")
+    found = marked.join(parts.withColumnRenamed("id", "fp"), "fp", "left")
+    return first_rows(docs, found.withColumn("component", F.coalesce("component_id", "fp")))
