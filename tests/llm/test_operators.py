@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tonegauge.llm import embeddings, mixing, packing, pii, quality, rules, secret_scan, simhash, toxicity, warc
+from tonegauge.llm import embeddings, mixing, near_copies, packing, pii, quality, rules, secret_scan, simhash, toxicity, warc
 from tonegauge.llm.common import connected_components
 from tonegauge.llm.queries import tokenizer_path
 
@@ -134,6 +134,53 @@ def test_keep_first_keeps_every_text_under_null_and_repeated_ids(spark):
     assert sorted(kept, key=repr) == sorted(zip([None, None, None, 7, 7, 9], own), key=repr)
 
 
+def five_word_sets(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def edited(r, text, edits):
+    words = text.split()
+    for at in r.sample(range(len(words)), edits):
+        words[at] = prose(r, 1) + "x"
+    return " ".join(words)
+
+
+def near_texts():
+    """Random texts, each with copies of some edited words, at similarities on both sides of 0.8."""
+    r = random.Random(21)
+    out = [None, "", " ", "one two", "One  two", "one"]
+    for words, edits in ((100, 1), (300, 3), (100, 2), (1000, 20), (60, 3)):
+        for _ in range(12):
+            text = prose(r, words)
+            out += [text, edited(r, text, edits), edited(r, text, edits)]
+    r.shuffle(out)
+    return out
+
+
+def test_pipeline_drops_near_copies_of_similarity_08(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts = near_texts()
+    sets = [five_word_sets(t) for t in texts]
+    least = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            least[i] = min(least[j] for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b))
+    assert 60 < len(set(least)) < 100
+    for block in (near_copies.BLOCK_WORDS, 300):  # groups whole, and dealt in blocks
+        monkeypatch.setattr(near_copies, "BLOCK_WORDS", block)
+        kept = corpus_pipeline.near_dedup(spark, documents(spark, texts), "").collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(set(least))
+
+
+def test_near_copies_keeps_every_text_under_null_and_repeated_ids(spark):
+    docs, own = unlike_rows(spark)
+    kept = [(r["doc_id"], r["text"]) for r in near_copies.keep_first(docs).collect()]
+    assert sorted(kept, key=repr) == sorted(zip([None, None, None, 7, 7, 9], own), key=repr)
+    assert near_copies.keep_first(documents(spark, [])).count() == 0
+
+
 def test_simhash_finds_every_link_of_a_crowd(spark):
     r = random.Random(2)
     centre = r.getrandbits(64)
