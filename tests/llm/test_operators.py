@@ -371,6 +371,22 @@ def test_toxicity_separates_held_out_rows(spark):
     assert len(got) == 242 and all(0 <= x["score"] <= 1 for x in got)
 
 
+def test_toxicity_knows_every_word_of_a_wide_vocabulary(spark):
+    r = random.Random(9)
+    invented = sorted({"".join(r.choices("abcdefghiklmnoprstu", k=r.randint(5, 9))) for _ in range(2400)})
+    r.shuffle(invented)
+    vocabulary, plain = invented[:450], invented[450:]
+
+    def toxic(r):
+        return " ".join([*r.choices(plain, k=30), *r.sample(vocabulary, 30)])
+
+    docs, labels = labelled(spark, 1600, lambda r: " ".join(r.choices(plain, k=60)), toxic, "toxic")
+    model = toxicity.train(docs, labels)
+    lengths = toxicity.kept_lengths(model)
+    known = lambda words: sum(model.ratios[toxicity.cells(lengths, w)].min() >= 2.0 for w in words) / len(words)
+    assert known(vocabulary) >= 0.95 and known(plain) <= 0.02
+
+
 def test_archive_records_round_trip(spark, folder):
     page = "<html><head><title>A &amp; B</title><script>x()</script></head><body><p>Hello <b>you</b></p><a href='/l'>é</a></body></html>"
     pages = spark.createDataFrame([(1, "http://x.example/a", page, "x"), (2, None, None, "x"), (3, "u", "", "x")], "page_id long, url string, html string, record string")

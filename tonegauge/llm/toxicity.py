@@ -1,11 +1,14 @@
-"""Compression-distance toxicity: two zstandard dictionaries, window lengths, calibrated thresholds.
+"""Compression-distance toxicity: zstandard dictionaries, window lengths, calibrated thresholds.
 
 Training (on a bounded sample of labelled rows, `ROWS_PER_CLASS` of either class):
 1. One half of the rows gives the dictionary texts: windows of ordinary documents, and the windows of
    toxic documents whose words occur in toxic documents far above their rate in ordinary ones. One
-   dictionary is trained on each; the strongest of the toxic words also stand verbatim at the end of theirs.
-2. The other half calibrates. A window (a word, lower-cased, in UTF-16, behind a frame that both
-   dictionaries hold, so that the fixed cost of a block cancels) is compressed with either dictionary.
+   dictionary is trained on each; the strongest of the toxic words also stand verbatim at the end of theirs,
+   all others that chance does not explain in further toxic dictionaries, each of a size that zstandard
+   can reach.
+2. The other half calibrates. A window (a word, lower-cased, in UTF-16, behind a frame that all
+   dictionaries hold, so that the fixed cost of a block cancels) is compressed with every dictionary;
+   its toxic length is the least over the toxic ones.
    The pair of lengths has a log-likelihood ratio, toxic against ordinary, counted over that half.
    A logistic curve over the document's strongest and summed ratios turns them into a probability.
 
@@ -20,19 +23,21 @@ both classes every score is 0.5 below the threshold (0.0). Extra columns of `doc
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tonegauge.llm.common import fold, kept_in_worker, small_batches, training_rows
 
 ROWS_PER_CLASS = 6000  # bound of the labelled rows that are looked at
-MAX_TOXIC_WORDS = 400  # bound of the words that the toxic dictionary is trained on
+TRAINED_WORDS = 400  # strongest words that the first toxic dictionary is trained on
+FALSE_SHARE = 0.05  # of the words in further dictionaries, by the false-discovery rule
 # Dictionary sizes: above about 8 KB zstandard no longer finds what these short windows share with them.
 ORDINARY_BYTES, TOXIC_BYTES, VERBATIM_BYTES = 4096, 4096, 2048
 MIN_DOCS, MIN_LOG_ODDS = 4, 2.5
@@ -46,7 +51,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: tuple[bytes, ...]
     ratios: np.ndarray  # by the pair of lengths
     weights: np.ndarray | None  # logistic, the constant last
 
@@ -57,7 +62,7 @@ class Lengths(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.frame = model.ordinary[-FRAME:]
-        self.by = [self._compressor(model.ordinary), self._compressor(model.toxic + self.frame)]
+        self.by = [self._compressor(model.ordinary), *(self._compressor(t + self.frame) for t in model.toxic)]
         self.base = [len(c.compress(self.frame + " ".encode(ENCODING))) for c in self.by]
 
     @staticmethod
@@ -76,9 +81,10 @@ class Lengths(dict):
         best = None
         for start in range(0, len(word), 24):
             window = self.frame + f" {word[start : start + 24]} ".encode(ENCODING, "surrogatepass")
-            plain, toxic = (
+            plain, *shards = (
                 min(max(len(c.compress(window)) - base, 0), CELLS - 1) for c, base in zip(self.by, self.base)
             )
+            toxic = min(shards)
             if best is None or plain - toxic > best:
                 best, cell = plain - toxic, plain * CELLS + toxic
         self[word] = cell
@@ -128,43 +134,61 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words of a document, each once, and some runs of eight words for the ordinary dictionary."""
         for batch in batches:
-            word, y, run = [], [], []
+            word, y, run, source = [], [], [], []
             for text, label_ in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 text = text.lower()
+                said = TOKENS.findall(text)
+                # Near copies mostly share their least hash of three words; they speak once for a word.
+                least = min((zlib.crc32(" ".join(said[at : at + 3]).encode("utf-8", "surrogatepass")) for at in range(max(1, len(said) - 2))))
                 for w in sorted(set(LETTERS.findall(text))):
                     word.append(w[:64])
                     y.append(label_)
                     run.append(False)
-                tokens = TOKENS.findall(text) if not label_ else []
+                source += [least] * (len(word) - len(source))
+                tokens = said if not label_ else []
                 for at in range(0, len(tokens), max(8, len(tokens) // 10)):
                     word.append(" ".join(tokens[at : at + 8])[:256])
                     y.append(0)
                     run.append(True)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(y, pa.int32()), pa.array(run, pa.bool_())], ["word", "y", "run"])
+                source += [0] * (len(word) - len(source))
+            columns = [pa.array(word, pa.string()), pa.array(y, pa.int32()), pa.array(run, pa.bool_()), pa.array(source, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "y", "run", "source"])
 
     seen = (
         rows.where("half = 0")
-        .mapInArrow(windows, "word string, y int, run boolean")
+        .mapInArrow(windows, "word string, y int, run boolean, source long")
+        .groupBy("word", "run", "y", "source")
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("word", "run")
-        .agg(F.sum(F.col("y").cast("long")).alias("toxic"), F.sum(1 - F.col("y").cast("long")).alias("ordinary"))
+        .agg(
+            F.sum(F.col("y") * F.col("n")).alias("toxic"),
+            F.sum((1 - F.col("y")) * F.col("n")).alias("ordinary"),
+            F.count_if(F.col("y") == 1).alias("toxic_sources"),
+            F.count_if(F.col("y") == 0).alias("ordinary_sources"),
+        )
     )
     n0, n1 = counts[0, 0], counts[0, 1]
     odds = F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("ordinary") + 0.5) / (n0 + 1.0))
+    tested = Observation()
+    often = ~F.col("run") & (F.col("toxic_sources") + F.col("ordinary_sources") >= MIN_DOCS)
     marked = (
-        seen.where(~F.col("run") & (F.col("toxic") >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
+        seen.observe(tested, F.count_if(often).alias("n"))
+        .where(~F.col("run") & (F.col("toxic") >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
         .orderBy(odds.desc(), "word")
-        .limit(MAX_TOXIC_WORDS)
-        .select("word", "toxic")
-        .collect()
+        .select("word", "toxic", "toxic_sources", "ordinary_sources")
+        .collect()  # at least MIN_DOCS of the drawn documents hold each
     )
     runs = [r["word"] for r in seen.where("run").select("word").orderBy(F.xxhash64("word"), "word").limit(20_000).collect()]
     ordinary = _dictionary([f" {x} ".encode(ENCODING, "surrogatepass") for x in runs], ORDINARY_BYTES, 64)
     # zstandard's trainer weighs by frequency and leaves marked words out at random once there are many of
-    # them (held-out recall 0.11 to 0.81 with its dictionary alone, 0.98 with the words behind it), so the
-    # strongest words follow verbatim, the strongest of all last, where a match costs least.
-    words = [f" {r['word']} ".encode(ENCODING, "surrogatepass") for r in reversed(marked)]
-    trained = _dictionary([w for w, r in zip(words, reversed(marked)) for _ in range(min(r["toxic"], 500))], TOXIC_BYTES - VERBATIM_BYTES, 16)
-    toxic = trained + b"".join(words)[-VERBATIM_BYTES:]
+    # them (held-out recall 0.11 to 0.81 with its dictionary alone, 0.98 with the words behind it), so words
+    # follow verbatim, in as many dictionaries as they need, the strongest of each last, where a match costs
+    # least. Words that copies of few documents bring by chance would fill most of the further dictionaries.
+    words = [f" {r['word']} ".encode(ENCODING, "surrogatepass") for r in marked]
+    trained = _dictionary(
+        [w for w, r in reversed([*zip(words, marked)][:TRAINED_WORDS]) for _ in range(min(r["toxic"], 500))], TOXIC_BYTES - VERBATIM_BYTES, 16
+    )
+    toxic = shards(trained, words, beyond_chance([(r["toxic_sources"], r["ordinary_sources"]) for r in marked], n1 / (n0 + n1), tested.get["n"]))
     model = Model(ordinary, toxic, np.zeros(CELLS * CELLS), None)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,6 +222,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     return Model(ordinary, toxic, model.ratios, logistic(x, y))
 
 
+def beyond_chance(counts: list[tuple[int, int]], share: float, tested: int) -> np.ndarray:
+    """Which (toxic, ordinary) counts a rate of `share` does not explain: Chernoff bounds, false-discovery rule."""
+    toxic, ordinary = np.array(counts, float).reshape(-1, 2).T
+    n = toxic + ordinary
+    log_p = toxic * np.log(n * share / np.maximum(toxic, 1)) + ordinary * np.log(n * (1 - share) / np.maximum(ordinary, 1))
+    order = np.argsort(log_p)
+    passed = np.flatnonzero(log_p[order] <= np.log(FALSE_SHARE * np.arange(1, len(n) + 1) / max(tested, 1)))
+    found = np.zeros(len(n), bool)
+    found[order[: passed[-1] + 1 if len(passed) else 0]] = True
+    return found
+
+
+def shards(trained: bytes, words: list[bytes], found: np.ndarray) -> tuple[bytes, ...]:
+    """Toxic dictionaries, every word whole, strongest first: one behind `trained`, then the `found` words left."""
+    ends = np.cumsum([len(w) for w in words])
+    first = int(np.searchsorted(ends, VERBATIM_BYTES, "right"))
+    held, room = [words[:first]], 0
+    for w, f in zip(words[first:], found[first:]):
+        if f:
+            if len(w) > room:
+                held.append([])
+                room = TOXIC_BYTES
+            held[-1].append(w)
+            room -= len(w)
+    joined = [b"".join(reversed(h)) for h in held]
+    return (trained + joined[0], *joined[1:])
+
+
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     """A trained zstandard dictionary; where too little text is given to train one, the text itself."""
     if len(samples) >= 16:
