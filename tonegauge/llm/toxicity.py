@@ -188,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int =
     trained = _dictionary(
         [w for w, r in reversed([*zip(words, marked)][:TRAINED_WORDS]) for _ in range(min(r["toxic"], 500))], TOXIC_BYTES - VERBATIM_BYTES, 16
     )
-    toxic = shards(trained, words, beyond_chance([(r["toxic_sources"], r["ordinary_sources"]) for r in marked], n1 / (n0 + n1), tested.get["n"]))
+    # Without a marked word the observed plan may be cut away whole, and there is nothing to test.
+    n_tested = tested.get["n"] if marked else 0
+    toxic = shards(trained, words, beyond_chance([(r["toxic_sources"], r["ordinary_sources"]) for r in marked], n1 / (n0 + n1), n_tested))
     model = Model(ordinary, toxic, np.zeros(CELLS * CELLS), None)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
