@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tonegauge.llm.class_bigrams import class_bigram_scores
 from tonegauge.llm.common import table
 from tonegauge.llm.embeddings import near_duplicates
+from tonegauge.llm.fill_middle import DIGESTS_SQL, digests
 from tonegauge.llm.mixing import mix
 from tonegauge.llm.packing import best_fit_packing
 from tonegauge.llm.pii import personal_data
 from tonegauge.llm.quality import quality
+from tonegauge.llm.ranked_search import RANKED_SQL, ranked_search
 from tonegauge.llm.rules import quality_rules
 from tonegauge.llm.secret_scan import secrets
 from tonegauge.llm.simhash import simhash_near_dedup
@@ -65,6 +68,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_bigram_scores(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -76,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_class_bigrams": op12_class_bigrams,
+    "op13_ranked_search": op13_ranked_search,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_fill_middle": DIGESTS_SQL, "op13_ranked_search": RANKED_SQL}
