@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from queries.base import (
@@ -27,12 +29,14 @@ from queries.base import (
     table,
     temporal_out,
 )
-from queries.feeds import NEWS, news_payloads
+from queries.feeds import FEED_ARTICLES, ITEMS, NEWS, news_payloads, rss_payloads
 from queries.text import CASE_CONTAINS
 from tonegauge.operators.entities import ENTITY_KEYWORDS, GENERAL_MARKET, keyword_rules
+from tonegauge.operators.maintenance import with_headline_hash
 from tonegauge.operators.scoring import score_columns
 from tonegauge.plans.dataset import build_dataset, corpus_articles
-from tonegauge.plans.runs import refresh, run_current, run_legacy
+from tonegauge.plans.journal import RunJournal
+from tonegauge.plans.runs import StoredRun, refresh, run_current, run_legacy, run_legacy_stored
 from tonegauge.session import run_dir
 from tonegauge.sources import feeds as G
 from tonegauge.sources.tables import TableStore
@@ -103,17 +107,83 @@ def _full_run_stored(spark, sf):
     """The same run against stored tables, written and read back."""
     store = TableStore(spark, run_dir(spark, "store"))
     stored, incoming = _stored_and_incoming(spark, sf)
-    store.replace("scored_headlines", stored)
+    store.replace("scored_headlines", with_headline_hash(stored))
     return refresh(store, incoming, score_events, [F.col("event_id")], AS_OF).summary
 
 
+class Died(RuntimeError):
+    """A run that ended in the middle."""
+
+
+class DyingJournal(RunJournal):
+    """Ends the run once, after a step has written its output and before that is noted."""
+
+    def __init__(self, journal: RunJournal):
+        super().__init__(journal.spark, journal.path, journal.steps)
+        self.fatal: str | None = None
+
+    def enter(self, run, step, mark=""):
+        if step == self.fatal:
+            raise Died(step)
+        return super().enter(run, step, mark)
+
+
+def repeated(run: StoredRun, incoming) -> None:
+    """The run dies at every step in turn and is started again each time; the last start ends it and, as any
+    start does, makes a run of its own."""
+    journal = DyingJournal(run.journal)
+    run = replace(run, journal=journal)
+    for journal.fatal in (*run.journal.steps, None):
+        try:
+            run(incoming)
+        except Died:
+            pass
+
+
+@query("full_run_repeated", f"{RUN_SERIES}, {RISK(source='run')} SELECT * FROM risk")
+def _full_run_repeated(spark, sf):
+    """History up to the 15th is scored; the run over the whole table dies at every step in turn."""
+    store = TableStore(spark, run_dir(spark, "store"))
+    stored, incoming = _stored_and_incoming(spark, sf)
+    store.replace("scored_headlines", with_headline_hash(stored))
+    run = StoredRun.of_articles(store, score_events, [F.col("event_id")], as_of=AS_OF)
+    repeated(run, incoming)
+    return run.result().summary
+
+
+@query(
+    "full_run_feeds",
+    f"""WITH {PAGE}, {ITEMS}, {FEED_ARTICLES},
+    h AS (SELECT *, md5(lower({STRIP('headline')})) AS score_key, (length(headline) % 10) / 10.0::DOUBLE AS p,
+                 pow(CAST(0.5 AS DOUBLE), greatest(date_diff('day', date, DATE '2024-01-31'), 0) / 3.0) AS time_weight
+          FROM t),
+    run AS (SELECT *, p - (1.0 - p) AS sentiment_score,
+                   CASE WHEN p >= 1.0 - p THEN 'positive' ELSE 'negative' END AS predicted_label
+            FROM h WHERE j <= 20 OR j <= 40 AND score_key NOT IN (SELECT score_key FROM h WHERE j <= 20)),
+    {DAILY(source='run')}, {ZSCORE()}, {RISK(source='run')} SELECT * FROM risk""",
+)
+def _full_run_feeds(spark, sf):
+    """From landed feed payloads to risk. The first run dies at every step in turn; the start that brings it to
+    its end goes on with a second run, which finds the first twenty items of each entity seen."""
+    store = TableStore(spark, run_dir(spark, "store"))
+
+    def score(df):
+        p = (F.char_length("headline") % 10) / F.lit(10.0)
+        return score_columns(df, F.array(p, F.lit(1.0) - p, F.lit(0.0)))
+
+    order = [F.col("page_id"), F.col("position")]
+    run = StoredRun.of_feeds(store, score, order, "2024-01-31 12:00:00", as_of=AS_OF)
+    repeated(run, rss_payloads(spark, sf))
+    return run.result().summary
+
+
 LEGACY_SOURCES = """
 live AS (SELECT * EXCLUDE (source), CASE WHEN source = 'view' THEN NULL ELSE source END AS source
          FROM ev WHERE source <> 'signup')"""
 LEGACY_RUN = f"WITH {EV}, {LEGACY_SOURCES}, {DAILY('sentiment_score', 'live')}, {LEGACY_ZSCORE}"
 
 
-def _legacy(spark, sf):
+def _legacy(spark, sf, store=None):
     """Sign-ups play the evaluation corpus, views have no source."""
     raw = ev(spark, sf).drop("predicted_label", "sentiment_score", "model_label")
 
@@ -125,7 +195,7 @@ def _legacy(spark, sf):
         )
         return score_events(df).withColumn("source", source)
 
-    return run_legacy(raw, score, AS_OF)
+    return run_legacy_stored(store, raw, score, AS_OF) if store else run_legacy(raw, score, AS_OF)
 
 
 @query("full_run_legacy", f"{LEGACY_RUN}, {LEGACY_RISK} SELECT * FROM risk")
@@ -180,3 +250,8 @@ def _build_dataset(spark, sf):
     return built.select(
         iso("date"), "entity", F.md5("headline").alias("headline_md5"), "true_label", "source"
     )
+
+
+@query("full_run_legacy_stored", f"{LEGACY_RUN}, {LEGACY_RISK} SELECT * FROM risk")
+def _full_run_legacy_stored(spark, sf):
+    return _legacy(spark, sf, TableStore(spark, run_dir(spark, "store"))).summary

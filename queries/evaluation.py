@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from queries.base import DOC, EV, R6, STRIP, ev, labelled_doc, plain_doc, query, r6, rounded
 from queries.text import HASHED
 from tonegauge.functions.hashing import headline_hash
-from tonegauge.functions.probabilities import argmax_label
+from tonegauge.functions.probabilities import CLASS_ORDER, argmax_label
 from tonegauge.operators import evaluation as E
 from tonegauge.operators import scoring as S
-from tonegauge.session import balanced, materialise
-from tonegauge.operators.training import evaluate_model, train_classifier
+from tonegauge.operators.bayes import BayesModel, score_bayes, train_bayes
+from tonegauge.operators.training import evaluate_stored, train_classifier
+from tonegauge.session import balanced, materialise, run_dir
+from tonegauge.sources.models import ModelStore
 
 # The predictor travels to the workers by value: they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,10 +27,9 @@ def vowel_model():
     """A stand-in for a user's classifier: softmax of the shares of e, a and o in the whole text."""
 
     def predict(texts: np.ndarray) -> np.ndarray:
-        shares = [
-            [10.0 * text.count(letter) / max(len(text), 1) for letter in "eao"] for text in texts
-        ]
-        weights = np.exp(np.array(shares).reshape(-1, 3))
+        texts = np.array(texts, dtype=np.dtypes.StringDType())
+        size = np.maximum(np.strings.str_len(texts), 1)
+        weights = np.exp(10.0 * np.stack([np.strings.count(texts, letter) for letter in "eao"], axis=-1) / size[:, None])
         return weights / weights.sum(axis=1, keepdims=True)
 
     return predict
@@ -140,15 +141,18 @@ def _classification_metrics(spark, sf):
     return E.classification_metrics(ev(spark, sf), "predicted_label", "model_label")
 
 
-@query(
-    "classification_report",
-    f"""WITH {EV}, {CLASS_SCORES}
-    SELECT label, {R6('p', 'precision')}, {R6('r', 'recall')}, {R6('f', 'f1')}, support FROM scores
+REPORT = f"""SELECT label, {R6('p', 'precision')}, {R6('r', 'recall')}, {R6('f', 'f1')}, support FROM scores
     UNION ALL SELECT 'macro avg', {R6('avg(p)', 'p')}, {R6('avg(r)', 'r')}, {R6('avg(f)', 'f')},
       CAST(sum(support) AS BIGINT) FROM scores
     UNION ALL SELECT 'weighted avg', {R6('sum(p * support) / sum(support)', 'p')},
       {R6('sum(r * support) / sum(support)', 'r')}, {R6('sum(f * support) / sum(support)', 'f')},
-      CAST(sum(support) AS BIGINT) FROM scores""",
+      CAST(sum(support) AS BIGINT) FROM scores"""
+
+
+@query(
+    "classification_report",
+    f"""WITH {EV}, {CLASS_SCORES}
+    {REPORT}""",
 )
 def _classification_report(spark, sf):
     report = E.classification_report(ev(spark, sf), "predicted_label", "model_label")
@@ -161,20 +165,78 @@ def _split_documents(spark, sf):
     )
 
 
-@query("train_classifier")
+# The split and the word counts by class of its training part, as in the operators.
+BAYES = f"""{DOC}, d AS (
+  SELECT *, row_number() OVER (PARTITION BY true_label ORDER BY md5('42|' || doc_id), doc_id)
+              <= ceil(count(*) OVER (PARTITION BY true_label) * CAST(0.15 AS DOUBLE)) AS is_holdout FROM stored),
+classes AS (
+  SELECT c.label, c.position, count(d.doc_id) AS documents, sum(count(d.doc_id)) OVER () AS total
+  FROM (VALUES ('positive', 0), ('negative', 1), ('neutral', 2)) c(label, position)
+  LEFT JOIN d ON d.true_label = c.label AND NOT is_holdout GROUP BY ALL),
+said AS (SELECT true_label, unnest(string_split_regex(lower(headline), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM d WHERE NOT is_holdout),
+counts AS (SELECT word, true_label AS label, count(*) AS n FROM said WHERE word <> '' GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT word FROM counts),
+sizes AS (
+  SELECT label, position, documents, total, coalesce((SELECT sum(n) FROM counts c WHERE c.label = k.label), 0)
+           + (SELECT count(*) FROM vocabulary) AS under FROM classes k),
+asked AS (
+  SELECT doc_id, word, count(*) AS n
+  FROM (SELECT doc_id, unnest(string_split_regex(lower(headline), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM doc)
+  WHERE word IN (SELECT word FROM vocabulary) GROUP BY ALL),
+logs AS (
+  SELECT a.doc_id, k.label, sum(a.n * ln((coalesce(c.n, 0) + 1.0) / CAST(k.under AS DOUBLE))) AS l
+  FROM asked a CROSS JOIN sizes k LEFT JOIN counts c ON c.word = a.word AND c.label = k.label GROUP BY ALL),
+best AS (
+  SELECT doc.doc_id, k.label AS predicted_label,
+         row_number() OVER (PARTITION BY doc.doc_id
+                            ORDER BY coalesce(l, 0) + ln(documents / CAST(total AS DOUBLE)) DESC, position) AS i
+  FROM doc CROSS JOIN sizes k LEFT JOIN logs ON logs.doc_id = doc.doc_id AND logs.label = k.label
+  WHERE documents > 0)"""
+
+
+@query(
+    "train_classifier",
+    f"WITH {BAYES} SELECT doc_id, predicted_label FROM best WHERE i = 1",
+)
 def _train_classifier(spark, sf):
-    """Every document scored by a model fitted on the training part of the labelled ones."""
+    """Every document labelled by naive Bayes counted on the training part of the labelled ones."""
+    model = train_bayes(_split_documents(spark, sf).filter(~F.col("is_holdout")))
+    rows = plain_doc(spark, sf).select("doc_id", "headline")
+    return score_bayes(rows, model, "doc_id").select("doc_id", "predicted_label")
+
+
+@query(
+    "evaluate_model",
+    f"""WITH {BAYES},
+    {CLASS_SCORES.replace("predicted_label AS truth, model_label AS predicted, count(*) AS n FROM ev", "true_label AS truth, predicted_label AS predicted, count(*) AS n FROM d JOIN (SELECT doc_id, predicted_label FROM best WHERE i = 1) USING (doc_id) WHERE is_holdout")}
+    {REPORT}""",
+)
+def _evaluate_model(spark, sf):
+    """Report on the held-out labelled documents by a stored model that another session has loaded."""
+    split = _split_documents(spark, sf)
+    path = run_dir(spark, "models")
+    train_bayes(split.filter(~F.col("is_holdout"))).save(ModelStore(spark, path))
+    other = spark.newSession()
+    model = BayesModel.load(ModelStore(other, path))
+    holdout = _split_documents(other, sf).filter("is_holdout")
+    scored = score_bayes(holdout.select("doc_id", "headline", "true_label"), model, "doc_id")
+    return rounded(E.classification_report(scored, "true_label"), "precision", "recall", "f1")
+
+
+@query("train_regression")
+def _train_regression(spark, sf):
+    """Every document scored by a regression fitted on the training part of the labelled ones."""
     train = _split_documents(spark, sf).filter(~F.col("is_holdout"))
     model = train_classifier(train)
     scored = S.score_with_model(plain_doc(spark, sf), model)
     return scored.select("doc_id", "predicted_label", r6("sentiment_score", "sentiment_score"))
 
 
-@query("evaluate_model")
-def _evaluate_model(spark, sf):
-    """Report on the held-out labelled documents."""
+@query("evaluate_regression")
+def _evaluate_regression(spark, sf):
+    """Report on the held-out labelled documents by a stored and reloaded regression."""
     split = _split_documents(spark, sf)
-    model = train_classifier(split.filter(~F.col("is_holdout")))
-    return rounded(
-        evaluate_model(model, split.filter("is_holdout")), "precision", "recall", "f1"
-    )
+    store = ModelStore(spark, run_dir(spark, "models"))
+    store.save(CLASS_ORDER, pipeline=train_classifier(split.filter(~F.col("is_holdout"))))
+    report = evaluate_stored(store, split.filter("is_holdout"))
+    return rounded(report, "precision", "recall", "f1")

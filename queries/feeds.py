@@ -90,15 +90,19 @@ def _parse_rss_payloads(spark, sf):
     return G.parse_rss_payloads(rss_payloads(spark, sf))
 
 
-@query(
-    "ingest_feed",
-    f"""WITH {PAGE}, {ITEMS},
+# Kept feed items, numbered per entity in feed order.
+FEED_ARTICLES = f"""
     c AS (SELECT *, {CLEAN('title')} AS headline, CAST(published AS DATE) AS date FROM items),
     k AS (SELECT *, md5(lower(headline || '|' || entity || '|' || strftime(date, '%Y-%m-%d'))) AS hash FROM c
           WHERE length(headline) >= 20
             AND floor((epoch(TIMESTAMP '2024-01-31 12:00:00') - epoch(published)) / 86400) BETWEEN 0 AND 7),
     f AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY page_id, position) AS i FROM k),
-    t AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY page_id, position) AS j FROM f WHERE i = 1)
+    t AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY page_id, position) AS j FROM f WHERE i = 1)"""
+
+
+@query(
+    "ingest_feed",
+    f"""WITH {PAGE}, {ITEMS}, {FEED_ARTICLES}
     SELECT {ISO()}, entity, headline, '' AS true_label, 'google_news' AS source, url, hash FROM t WHERE j <= 20""",
 )
 def _ingest_feed(spark, sf):

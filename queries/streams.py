@@ -32,27 +32,55 @@ from queries.series import ALERT_LINE, BY_TYPE_SQL, CURRENT_SERIES
 from tonegauge.operators.maintenance import with_headline_hash
 from tonegauge.schemas import columns
 from tonegauge.session import run_dir
+from tonegauge.sources.seen import SeenKeys
 from tonegauge.streaming import jobs as J
 from tonegauge.streaming.batchlog import BatchLog
 
 CUTS = ("2024-01-11", "2024-01-21")  # the first part is open below and has rows without a time, the last is open above
 
 
+def parts_of(events: DataFrame):
+    """The events in three parts."""
+    for first, end in zip((None, *CUTS), (*CUTS, None)):
+        late = F.lit(True) if first is None else F.col("ts") >= first
+        early = F.lit(True) if end is None else F.col("ts") < end
+        yield events.filter(late & early if first else early | F.col("ts").isNull())
+
+
 def played(
     spark: SparkSession,
     events: DataFrame,
     start: Callable[[DataFrame], DataStreamWriter],
 ) -> None:
-    """Land one part after the other and let the job catch up each time, from one checkpoint."""
+    """Land one part after the other and let the job catch up each time, from one checkpoint. The job is
+    started anew for each part, which so arrives as one batch."""
     folder, checkpoint = run_dir(spark, "landed"), run_dir(spark, "offsets")
-    for first, end in zip((None, *CUTS), (*CUTS, None)):
-        late = F.lit(True) if first is None else F.col("ts") >= first
-        early = F.lit(True) if end is None else F.col("ts") < end
-        part = events.filter(late & early if first else early | F.col("ts").isNull())
+    for part in parts_of(events):
         part.write.mode("append").parquet(folder)
         J.drain(start(J.landed_files(spark, folder, events.schema)), checkpoint)
 
 
+def played_live(
+    spark: SparkSession,
+    events: DataFrame,
+    start: Callable[[DataFrame], DataStreamWriter],
+) -> None:
+    """Land the parts while the job runs. How files group into batches is left to the source: for jobs
+    whose answer does not depend on it."""
+    folder, checkpoint = run_dir(spark, "landed"), run_dir(spark, "offsets")
+    first, *rest = parts_of(events)
+    first.write.parquet(folder)
+    stream = J.landed_files(spark, folder, events.schema)
+    query = start(stream).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+        for part in rest:
+            part.write.mode("append").parquet(folder)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def handled(handle: J.Handler, prepare=lambda stream: stream, mode: str = "append"):
     """A writer that passes every prepared batch to the handler."""
     return lambda stream: prepare(stream).writeStream.outputMode(mode).foreachBatch(handle)
@@ -70,7 +98,7 @@ def filed(path: str, prepare):
 def _stream_ingest(spark, sf):
     out, rows = run_dir(spark, "ingested"), ev(spark, sf)
     names = ("event_id", "entity", "date", "sentiment_score")
-    played(spark, rows, filed(out, lambda stream: stream.select(*names)))
+    played_live(spark, rows, filed(out, lambda stream: stream.select(*names)))
     return rounded(spark.read.schema(rows.select(*names).schema).parquet(out), "sentiment_score")
 
 
@@ -81,8 +109,8 @@ def _stream_ingest(spark, sf):
 def _stream_dedup(spark, sf):
     """First event of each headline over the life of the stream."""
     kept = columns(event_id="long", headline_hash="string")
-    log = BatchLog(spark, run_dir(spark, "firsts"), kept)
-    handle = J.dedup_forever(log, ["headline_hash"], [F.col("event_id")])
+    log, seen = BatchLog(spark, run_dir(spark, "firsts"), kept), SeenKeys(spark, run_dir(spark, "seen"))
+    handle = J.dedup_forever(log, seen, ["headline_hash"], [F.col("event_id")])
     played(spark, ev(spark, sf), handled(handle, with_headline_hash))
     return log.read().drop("batch_id")
 
@@ -98,7 +126,7 @@ def _stream_dedup_within(spark, sf):
     def prepare(stream):
         return J.dedup_within(stream, ["headline"], delay="36500 days").select("headline")
 
-    played(spark, ev(spark, sf), filed(out, prepare))
+    played_live(spark, ev(spark, sf), filed(out, prepare))
     return spark.read.schema(columns(headline="string")).parquet(out)
 
 
@@ -113,7 +141,7 @@ def _stream_late(spark, sf):
     def prepare(stream):
         return J.recent_stream(stream, "2024-01-20 12:00:00").select("event_id")
 
-    played(spark, ev(spark, sf), filed(out, prepare))
+    played_live(spark, ev(spark, sf), filed(out, prepare))
     return spark.read.schema(columns(event_id="long")).parquet(out)
 
 
@@ -128,13 +156,13 @@ def _stream_daily(spark, sf):
     def prepare(stream):
         return J.daily_mean_stream(stream.withWatermark("ts", "7 days"))
 
-    played(spark, ev(spark, sf), handled(log.write, prepare, mode="update"))
+    played_live(spark, ev(spark, sf), handled(log.write, prepare, mode="update"))
     return rounded(log.latest(["entity", "date"]), "daily_avg_sentiment")
 
 
 def _risk_stream(spark, events, as_of=AS_OF) -> J.RiskStream:
     state = J.RiskStream(spark, run_dir(spark, "risk"), as_of)
-    played(spark, events, handled(state.handle))
+    played_live(spark, events, state.writer)
     return state
 
 
@@ -184,8 +212,6 @@ def _stream_alerts(spark, sf):
 def _stream_full_run(spark, sf):
     """Events arrive as unscored articles; the stream cleans, scores and sums them up."""
     events = run_events(spark, sf)
-    keys = columns(article_hash="string", headline_hash="string")
-    articles = columns(**{f.name: f.dataType for f in [*events.schema.fields, *keys.fields]})
     kept = columns(
         entity="string",
         date="date",
@@ -193,8 +219,6 @@ def _stream_full_run(spark, sf):
         predicted_label="string",
         sentiment_score="double",
     )
-    state = J.RefreshStream(
-        spark, run_dir(spark, "refresh"), score_events, [F.col("event_id")], articles, kept, AS_OF
-    )
-    played(spark, events, handled(state.handle))
+    state = J.RefreshStream(spark, run_dir(spark, "refresh"), score_events, kept, AS_OF)
+    played_live(spark, events, state.writer)
     return state.summary()

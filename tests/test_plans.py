@@ -7,18 +7,20 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from queries import REGISTRY
 
 SMALL = "/root/testdata/sf0.001"
 PYTHON = {"score_batch", "score_incremental"}
 # Queries that return what a job has written: their plan is a plain scan.
-EAGER = {"train_classifier", "evaluate_model"}
+EAGER = {"evaluate_model", "evaluate_regression", "train_regression", "full_run_repeated", "full_run_feeds", "full_run_legacy_stored"}
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = [n for n in contract.queries() if not n.startswith(("stream_", "full_run_stored")) and n not in EAGER]
+# Queries of the optional part have tests of their own.
+LAZY = [n for n in REGISTRY if not n.startswith(("stream_", "full_run_stored")) and n not in EAGER]
 
 
 @pytest.mark.parametrize("name", LAZY)

@@ -35,16 +35,12 @@ def known_label(c: Column) -> Column:
     return F.when(label.isin(*CLASS_ORDER), label).otherwise(F.lit(""))
 
 
-def clean_articles(
-    df: DataFrame,
-    order_by: Sequence[Column],
-    daily: bool = False,
-    min_length: int = MIN_LENGTH_CLEAN,
+def usable_articles(
+    df: DataFrame, daily: bool = False, min_length: int = MIN_LENGTH_CLEAN
 ) -> DataFrame:
-    """Trim, normalise labels, drop unusable rows and keep the first of (headline, entity, date).
+    """Trim, normalise labels and drop unusable rows: the part of cleaning that looks at one row.
 
-    With `daily` the date loses its time first, so repeats within one day collapse. `order_by`
-    says what "first" means. The result is unordered; sort where it is shown or written.
+    With `daily` the date loses its time.
     """
     date = _instant(df, "date")
     prepared = df.withColumns(
@@ -55,11 +51,25 @@ def clean_articles(
             "date": F.to_date(date) if daily else date,
         }
     )
-    usable = prepared.filter(
+    return prepared.filter(
         F.col("date").isNotNull()
         & (F.char_length("headline") >= min_length)
         & ~F.col("entity").isin("", "nan")
     )
+
+
+def clean_articles(
+    df: DataFrame,
+    order_by: Sequence[Column],
+    daily: bool = False,
+    min_length: int = MIN_LENGTH_CLEAN,
+) -> DataFrame:
+    """Usable articles, the first of each (headline, entity, date).
+
+    With `daily` repeats within one day collapse. `order_by` says what "first" means. The result is
+    unordered; sort where it is shown or written.
+    """
+    usable = usable_articles(df, daily, min_length)
     return first_per_key(usable, ["headline", "entity", "date"], order_by)
 
 

@@ -13,6 +13,7 @@ from tonegauge.operators.evaluation import classification_report
 from tonegauge.operators.filters import MIN_LABELLED_ROWS, labelled_rows
 from tonegauge.operators.scoring import score_with_model
 from tonegauge.session import materialise
+from tonegauge.sources.models import ModelStore
 
 FEATURES = 1 << 16
 
@@ -57,3 +58,9 @@ def evaluate_model(
 ) -> DataFrame:
     """Per-class report of a model on held-out rows."""
     return classification_report(score_with_model(holdout, model), truth=label)
+
+
+def evaluate_stored(store: ModelStore, holdout: DataFrame, label: str = "true_label", version: int | None = None) -> DataFrame:
+    """Per-class report of a stored pipeline, the newest by default; its class order comes with it."""
+    kept = store.load(version)
+    return classification_report(score_with_model(holdout, kept.pipeline, kept.labels), truth=label)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -111,18 +113,24 @@ def parse_news_json(payloads: DataFrame, payload: str = "payload", as_of=None) -
     return min_text_length(rows)
 
 
-def _first_unseen(rows: DataFrame, seen: DataFrame | None, order_by: list[Column]) -> DataFrame:
+# Keys met before: a table with `hash`, or a function that keeps the rows whose `hash` is new.
+Seen = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def _first_unseen(rows: DataFrame, seen: Seen, order_by: list[Column]) -> DataFrame:
     """First row per hash, then the unseen ones. In this order the copies of a hot key are dropped
     before the first shuffle."""
     firsts = first_per_key(rows, ["hash"], order_by)
-    return firsts if seen is None else only_new(firsts, seen, ["hash"])
+    if seen is None:
+        return firsts
+    return seen(firsts) if callable(seen) else only_new(firsts, seen, ["hash"])
 
 
 def ingest_feed(
     items: DataFrame,
     order_by: list[Column],
     as_of=None,
-    seen: DataFrame | None = None,
+    seen: Seen = None,
     max_per_entity: int = MAX_PER_ENTITY,
     max_age_days: int = 7,
 ) -> DataFrame:
@@ -151,7 +159,7 @@ def ingest_feed(
 
 
 def ingest_feed_loader(
-    items: DataFrame, order_by: list[Column], as_of=None, seen: DataFrame | None = None
+    items: DataFrame, order_by: list[Column], as_of=None, seen: Seen = None
 ) -> DataFrame:
     """The bulk-load variant: publisher from the title, near-duplicate key, undated items get
     `as_of`, no age limit and no cap."""

@@ -19,14 +19,21 @@ BATCH = "batch_id"
 
 
 class BatchLog:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+    """`split_by` names a column with few values that gets folders of its own inside a batch, so a reader of
+    one value opens no file of another."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, split_by: str | None = None):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = StructType([f for f in schema.fields if f.name != BATCH])
+        self.split_by = split_by
 
     def write(self, df: DataFrame, batch_id: int) -> None:
         names = [f.name for f in self.schema.fields]
-        df.select(*names).write.mode("overwrite").parquet(f"{self.path}/{BATCH}={batch_id}")
+        writer = df.select(*names).write.mode("overwrite")
+        if self.split_by:
+            writer = writer.partitionBy(self.split_by)
+        writer.parquet(f"{self.path}/{BATCH}={batch_id}")
 
     def _exists(self) -> bool:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -67,6 +74,6 @@ class BatchLog:
 
         Run between two starts of the stream, whose next batch id is above `upto`.
         """
-        log = BatchLog(self.spark, path, self.schema)
+        log = BatchLog(self.spark, path, self.schema, self.split_by)
         log.write(merged, upto)
         return log

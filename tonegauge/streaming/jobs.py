@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,26 +11,28 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType, TimestampNTZType
 
 from tonegauge.config import EngineConfig
-from tonegauge.functions.hashing import article_hash
 from tonegauge.functions.weights import half_life_weight
-from tonegauge.operators.cleaning import clean_articles
-from tonegauge.operators.dedup import first_per_key, only_new, only_new_to_history
+from tonegauge.operators.cleaning import usable_articles
+from tonegauge.operators.dedup import first_per_key
 from tonegauge.operators.filters import recent
-from tonegauge.operators.maintenance import with_headline_hash
-from tonegauge.operators.risk import alerts, summary_from_rollup
-from tonegauge.operators.temporal import (
-    daily_from_rollup,
-    daily_rollup,
-    merge_rollups,
-    min_history,
-    rolling_zscore,
-    temporal_from_rollup,
-)
-from tonegauge.schemas import ALERTS, DAILY_ROLLUP, TEMPORAL
+from tonegauge.operators.maintenance import HASH, with_headline_hash
+from tonegauge.operators.risk import alerts, finish_summary, summary_from_rollup
+from tonegauge.operators.temporal import min_history, temporal_from_rollup
+from tonegauge.schemas import ALERTS, DAILY_ROLLUP, TEMPORAL, columns
 from tonegauge.sources.feeds import ingest_feed, parse_rss_payloads
+from tonegauge.session import materialise
+from tonegauge.sources.seen import SeenKeys
 from tonegauge.streaming.batchlog import BatchLog
+from tonegauge.streaming.series_state import DAY, ENTITY, LATE, SCORED, SERIES, series_rows, totals_with_shares
 
 Handler = Callable[[DataFrame, int], None]
+KEEP_DAYS = 60  # how long a day stays open for late rows
+
+# Keyed state of any size lives on the executors' disks; only changes travel to the checkpoint.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def landed_files(
@@ -79,26 +82,37 @@ def dedup_within(
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def dedup_forever(log: BatchLog, keys: Sequence[str], order_by: Sequence[Column]) -> Handler:
-    """First row per key over the whole life of the stream. The log of kept rows is the memory, so
-    nothing has to fit into executor state."""
+def dedup_forever(
+    log: BatchLog, seen: SeenKeys, keys: Sequence[str], order_by: Sequence[Column]
+) -> Handler:
+    """First row per key over the whole life of the stream.
+
+    The memory is the table of seen keys, so nothing has to fit into executor state, and a batch opens
+    only the buckets that its keys may be in. Keys of several columns are stored as their SHA-256.
+    """
+    key = F.col(keys[0]).cast("string") if len(keys) == 1 else F.sha2(F.to_json(F.struct(*keys)), 256)
+    # A missing key is a key of its own and must differ from every text.
+    marked = F.coalesce(F.concat(F.lit("="), key), F.lit("null"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        firsts = first_per_key(batch, keys, order_by)
-        log.write(only_new(firsts, log.read(before=batch_id), keys), batch_id)
+        firsts = materialise(first_per_key(batch, keys, order_by).withColumn("hash", marked), "firsts")
+        new = seen.only_new(firsts, before=batch_id)
+        log.write(new.drop("hash") if "hash" not in batch.columns else new, batch_id)
+        seen.add(log.read_batch(batch_id).select(marked.alias("hash")), batch_id)
 
     return handle
 
 
 def ingest_forever(
     log: BatchLog,
+    seen: SeenKeys,
     order_by: Sequence[Column],
     as_of=None,
     config: EngineConfig | None = None,
 ) -> Handler:
     """Landed RSS payloads (`entity`, `payload`) to new articles, each kept once for good.
 
-    The log of kept articles is the seen table, so items beyond the cap of a batch stay new.
+    Only kept articles enter the table of seen keys, so items beyond the cap of a batch stay new.
     """
     config = config or EngineConfig()
 
@@ -107,11 +121,12 @@ def ingest_forever(
             parse_rss_payloads(batch),
             order_by,
             as_of,
-            seen=log.read(before=batch_id),
+            seen=lambda rows: seen.only_new(materialise(rows, "items"), before=batch_id),
             max_per_entity=config.max_articles_per_entity,
             max_age_days=config.max_age_days,
         )
         log.write(articles, batch_id)
+        seen.add(log.read_batch(batch_id).select("hash"), batch_id)
 
     return handle
 
@@ -135,83 +150,120 @@ def daily_mean_stream(
 
 
 class RiskStream:
-    """Daily sums, z-scores and alerts kept up to date batch by batch.
+    """Daily sums, z-scores and alerts kept up to date by keyed state.
 
-    A batch is reduced to its daily sums and logged; only entities it touches are recomputed, from
-    sums, never from headlines.
+    A batch is summed per entity and day before it is shuffled, meets the state of its own entities and
+    leaves the days it changed and the totals of the entities it touched. No batch reads what an earlier
+    one has written. Days stay open for `keep_days`; `idle_ttl_ms` drops the state of entities without
+    news for that long.
     """
 
-    def __init__(self, spark: SparkSession, root: str, as_of=None, config: EngineConfig | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        as_of=None,
+        config: EngineConfig | None = None,
+        keep_days: int = KEEP_DAYS,
+        idle_ttl_ms: int | None = None,
+        passing: StructType | None = None,
+    ):
         self.config = config or EngineConfig()
-        self.as_of = as_of
-        self.rollups = BatchLog(spark, f"{root}/rollups", DAILY_ROLLUP)
-        self.zscores = BatchLog(spark, f"{root}/zscores", TEMPORAL)
-        self.alerts = BatchLog(spark, f"{root}/alerts", ALERTS)
-
-    def handle(self, batch: DataFrame, batch_id: int) -> None:
-        self.rollups.write(daily_rollup(batch, weighted=False), batch_id)
-        logged = self.rollups.read(upto=batch_id)
-        since = self.rollups.read_batch(batch_id).groupBy("entity").agg(F.min("date").alias("__since"))
-        current = merge_rollups(logged.join(since, "entity", "left_semi"))
-        self._update_zscores(current, since, batch_id)
-        self._update_alerts(current, batch_id)
-
-    def _update_zscores(self, current: DataFrame, since: DataFrame, batch_id: int) -> None:
-        # Frames look back only, so days before the first touched one keep their values.
-        series = rolling_zscore(daily_from_rollup(current), self.config.profile)
-        changed = series.join(since, "entity").filter(F.col("date") >= F.col("__since"))
-        self.zscores.write(changed, batch_id)
-
-    def _update_alerts(self, current: DataFrame, batch_id: int) -> None:
-        summary = summary_from_rollup(self.weigh(current), self.config.profile)
-        self.alerts.write(alerts(summary, self.config), batch_id)
+        if self.config.profile.normalised_recency:
+            raise ValueError("totals with normalised recency cannot be carried on from day to day")
+        self.spark, self.root, self.as_of, self.keep_days, self.idle_ttl_ms = spark, root, as_of, keep_days, idle_ttl_ms
+        self.passing = passing
+        carried = [f for f in passing or [] if f.name not in SERIES.names]
+        self.series = BatchLog(spark, f"{root}/series", StructType([*SERIES.fields, *carried]), split_by="kind")
+        self.alerts = BatchLog(spark, f"{root}/alerts", columns(**{f.name: f.dataType for f in ALERTS}, hit="boolean"))
+
+    def prepared(self, stream: DataFrame) -> DataFrame:
+        """Scored headlines of a stream; a stream of other rows is scored here."""
+        return stream
+
+    def writer(self, stream: DataFrame) -> DataStreamWriter:
+        """The whole job: one plan with all its state, one sink."""
+        for key, value in STATE_STORE.items():
+            self.spark.conf.set(key, value)
+        as_of = date.fromisoformat(self.as_of) if isinstance(self.as_of, str) else self.as_of
+        rows = series_rows(self.prepared(stream), self.config.profile, as_of, self.keep_days, self.idle_ttl_ms, self.passing)
+        return rows.writeStream.outputMode("append").foreachBatch(self.land)
+
+    def land(self, rows: DataFrame, batch_id: int) -> None:
+        """Write the rows of a batch once, then the alerts of its entities."""
+        self.series.write(rows, batch_id)
+        entities = self.series.read_batch(batch_id).filter(F.col("kind") == ENTITY)
+        summary = finish_summary(totals_with_shares(entities, self.config.profile), self.config.profile)
+        hits = alerts(summary, self.config).withColumn("hit", F.lit(True))
+        # An entity whose alert has ended leaves a row without a hit.
+        self.alerts.write(entities.select("entity").join(hits, "entity", "left"), batch_id)
+
+    def days(self, kind: str = DAY) -> DataFrame:
+        """Rows of one kind with the batch they came in."""
+        return self.series.read().filter(F.col("kind") == kind)
+
+    def rollups(self) -> DataFrame:
+        """Current sums of every day."""
+        current = first_per_key(self.days(), ["entity", "date"], [F.desc("batch_id")])
+        return current.select(*DAILY_ROLLUP.names)
 
     def weigh(self, rollup: DataFrame, as_of=None) -> DataFrame:
-        """Apply the age weight to the sums: it depends on the day alone."""
+        """Apply the age weight to the sums: it depends on the day alone, and rows without a day have none."""
         as_of = self.as_of if as_of is None else as_of
         weight = half_life_weight(F.col("date"), as_of, self.config.profile.half_life_days)
-        return rollup.withColumn("value_sum", F.col("value_sum") * weight)
+        return rollup.withColumns(
+            {
+                "value_sum": F.col("value_sum") * weight,
+                "value_count": F.when(weight.isNotNull(), F.col("value_count")).otherwise(F.lit(0).cast("long")),
+            }
+        )
 
     def temporal(self) -> DataFrame:
         """The current series; the history rule is applied here because it may turn true late."""
-        rows = self.zscores.latest(["entity", "date"])
+        dated = self.days().filter(F.col("date").isNotNull())
+        rows = first_per_key(dated, ["entity", "date"], [F.desc("batch_id")]).select(*TEMPORAL.names)
         return min_history(rows, self.config.profile.min_history_days)
 
     def temporal_as_of(self, as_of) -> DataFrame:
         """The series with age weights of a given day. Those change every day for all history, so
         they are applied to the sums on reading instead of being stored."""
-        sums = merge_rollups(self.rollups.read())
-        return temporal_from_rollup(self.weigh(sums, as_of), self.config.profile)
+        return temporal_from_rollup(self.weigh(self.rollups(), as_of), self.config.profile)
 
     def current_alerts(self) -> DataFrame:
         """Alerts of the last batch that touched the entity."""
-        touched = self.rollups.read().groupBy("entity").agg(F.max("batch_id").alias("batch_id"))
-        return self.alerts.read().join(touched, ["entity", "batch_id"]).drop("batch_id")
+        return self.alerts.latest(["entity"]).filter("hit").drop("hit")
+
+    def late(self) -> DataFrame:
+        """Sums that came after their day was closed."""
+        return self.days(LATE).select(*DAILY_ROLLUP.names)
 
     def opened(self, root: str) -> RiskStream:
         """The same stream under another root."""
-        return RiskStream(self.rollups.spark, root, self.as_of, self.config)
+        return RiskStream(self.spark, root, self.as_of, self.config, self.keep_days, self.idle_ttl_ms, self.passing)
 
     def compacted(self, root: str, upto: int) -> RiskStream:
-        """A stream state under a new root whose sums are merged up to a finished batch."""
+        """Output under a new root with only the current rows up to a finished batch. The state stays in
+        the checkpoint, from which the stream goes on."""
         other = self.opened(root)
-        self.rollups.compacted(other.rollups.path, merge_rollups(self.rollups.read(upto=upto)), upto)
-        self.zscores.compacted(other.zscores.path, self.zscores.latest(["entity", "date"]), upto)
-        self.alerts.compacted(other.alerts.path, self.current_alerts(), upto)
+        rows = self.series.read(upto=upto)
+        # A day and an entity have one current row; rows of the other kinds all stay.
+        newest = first_per_key(rows.filter(F.col("kind").isin(DAY, ENTITY)), ["kind", "entity", "date"], [F.desc("batch_id")])
+        kept = newest.unionByName(rows.filter(~F.col("kind").isin(DAY, ENTITY)))
+        self.series.compacted(other.series.path, kept, upto)
+        self.alerts.compacted(other.alerts.path, self.alerts.latest(["entity"]), upto)
         return other
 
     def summary(self, as_of=None) -> DataFrame:
         """Composite risk of all entities from the sums."""
-        sums = self.weigh(merge_rollups(self.rollups.read()), as_of)
-        return summary_from_rollup(sums, self.config.profile)
+        return summary_from_rollup(self.weigh(self.rollups(), as_of), self.config.profile)
 
 
 class RefreshStream(RiskStream):
-    """The periodic run as a stream: clean, keep new articles, score unseen headlines, update risk.
+    """The periodic run as one streaming plan: clean, keep new headlines, score them, update risk.
 
-    A run costs its new articles, a look at the stored keys and the daily sums; neither stored
-    texts nor stored scores are read again. The schemas name the columns to keep; articles get
-    `article_hash` and `headline_hash`, scored rows `headline_hash`.
+    Two stateful operators follow each other, the headlines known so far and the series of each entity.
+    A headline is scored once in the life of the stream, for the article it first comes with; another
+    article under it adds nothing. `kept` names the columns of the scored rows to keep beside the series.
     """
 
     def __init__(
@@ -219,43 +271,22 @@ class RefreshStream(RiskStream):
         spark: SparkSession,
         root: str,
         score: Callable[[DataFrame], DataFrame],
-        order_by: Sequence[Column],
-        article_schema: StructType,
-        scored_schema: StructType,
+        kept: StructType,
         as_of=None,
         config: EngineConfig | None = None,
+        keep_days: int = KEEP_DAYS,
+        idle_ttl_ms: int | None = None,
     ):
-        super().__init__(spark, root, as_of, config)
+        super().__init__(spark, root, as_of, config, keep_days, idle_ttl_ms, kept)
         self.score = score
-        self.order_by = order_by
-        self.arrived = BatchLog(spark, f"{root}/arrived", article_schema)
-        self.articles = BatchLog(spark, f"{root}/articles", article_schema)
-        self.scored = BatchLog(spark, f"{root}/scored", scored_schema)
 
-    def opened(self, root: str) -> RefreshStream:
-        logs = (self.articles.schema, self.scored.schema)
-        return RefreshStream(
-            self.rollups.spark, root, self.score, self.order_by, *logs, self.as_of, self.config
-        )
+    def prepared(self, stream: DataFrame) -> DataFrame:
+        usable = with_headline_hash(usable_articles(stream, daily=True))
+        return self.score(usable.dropDuplicates([HASH]))
 
-    def compacted(self, root: str, upto: int) -> RefreshStream:
-        """Sums are merged; articles and scores move on whole, for they tell what is known."""
-        other = super().compacted(root, upto)
-        for name in ("articles", "scored"):
-            log = getattr(self, name)
-            log.compacted(getattr(other, name).path, log.read(upto=upto), upto)
-        return other
+    def scored(self) -> DataFrame:
+        """All scored headlines, the columns of `kept`."""
+        return self.days(SCORED).select(*self.passing.names)
 
-    def handle(self, batch: DataFrame, batch_id: int) -> None:
-        cleaned = with_headline_hash(clean_articles(batch, self.order_by, daily=True))
-        parts = [F.col(name) for name in ("headline", "entity", "date", "source")]
-        self.arrived.write(cleaned.withColumn("article_hash", article_hash(*parts)), batch_id)
-        articles = only_new_to_history(
-            self.arrived.read_batch(batch_id), self.articles.read(before=batch_id), ["article_hash"]
-        )
-        self.articles.write(articles, batch_id)
-        unseen = only_new_to_history(
-            self.articles.read_batch(batch_id), self.scored.read(before=batch_id), ["headline_hash"]
-        )
-        self.scored.write(self.score(unseen), batch_id)
-        super().handle(self.scored.read_batch(batch_id), batch_id)
+    def opened(self, root: str) -> RefreshStream:
+        return RefreshStream(self.spark, root, self.score, self.passing, self.as_of, self.config, self.keep_days, self.idle_ttl_ms)
