@@ -24,7 +24,10 @@ from queries.base import (
 from queries.text import HASHED
 from tonegauge.functions.hashing import headline_hash
 from tonegauge.operators import maintenance as M
-from tonegauge.session import run_dir
+from tonegauge.schemas import columns
+from tonegauge.session import materialise, run_dir
+from tonegauge.sources.keyed import KeyedTable
+from tonegauge.sources.seen import SeenKeys
 from tonegauge.sources.tables import TableStore
 
 ARTICLE_KEY = HASHED(
@@ -173,3 +176,35 @@ def _storage_health(spark, sf):
     keys = plain_doc(spark, sf).select(headline_hash(F.col("headline")).alias("hash")).distinct()
     store.replace("dedup_cache", keys)
     return store.health()
+
+
+@query(
+    "upsert_keyed_folders",
+    f"""WITH {EV}, s AS (SELECT *, md5(lower(headline)) AS h FROM ev),
+    i AS (SELECT *, md5(lower(headline)) AS h FROM ev WHERE source IN ('error', 'purchase'))
+    SELECT event_id, h AS headline_hash, {R6('sentiment_score', 'sentiment_score')}, 'stored' AS origin FROM s
+    WHERE h NOT IN (SELECT h FROM i)
+    UNION ALL SELECT event_id, h, {R6('sentiment_score * 2', 'sentiment_score')}, 'incoming' FROM i""",
+)
+def _upsert_keyed_folders(spark, sf):
+    """The upsert of `upsert_by_key` against a stored table whose folders are chosen by key hash."""
+    rows = M.with_headline_hash(ev(spark, sf)).select("event_id", "headline_hash", "sentiment_score", "source")
+    kept = columns(event_id="long", headline_hash="string", sentiment_score="double", origin="string")
+    table = KeyedTable(spark, run_dir(spark, "keyed"), kept, ["headline_hash"], 16)
+    table.upsert(rows.withColumn("origin", F.lit("stored")))
+    again = rows.filter(F.col("source").isin("error", "purchase")).withColumn("sentiment_score", F.col("sentiment_score") * 2)
+    table.upsert(again.withColumn("origin", F.lit("incoming")))
+    return table.read().withColumn("sentiment_score", r6("sentiment_score", "sentiment_score"))
+
+
+@query(
+    "seen_keys_new",
+    f"""WITH {DOC} SELECT DISTINCT {HASHED('headline')} AS hash FROM doc
+    WHERE {HASHED('headline')} NOT IN (SELECT {HASHED('headline')} FROM stored)""",
+)
+def _seen_keys_new(spark, sf):
+    """Document keys that are new to a stored table of the labelled documents' keys."""
+    key = F.md5(F.lower("headline")).alias("hash")
+    seen = SeenKeys(spark, run_dir(spark, "seen"))
+    seen.add(labelled_doc(spark, sf).select(key).distinct(), 0)
+    return seen.only_new(materialise(plain_doc(spark, sf).select(key).distinct(), "keys"))

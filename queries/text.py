@@ -32,6 +32,7 @@ from tonegauge.functions.text import (
 from tonegauge.session import balanced
 from tonegauge.operators.dating import spread_dates
 from tonegauge.operators.dedup import first_per_key, only_new, top_per_key
+from tonegauge.operators.keyword_join import infer_entity_joined
 from tonegauge.operators.entities import (
     ENTITY_KEYWORDS,
     GENERAL_MARKET,
@@ -233,6 +234,27 @@ def _infer_entity(spark, sf):
     return infer_entity(rows, "text", KEYWORDS).select("doc_id", "entity")
 
 
+# A dictionary that is a table: the words of the benchmark items, the one with the least md5 first.
+DICTIONARY = """
+keywords AS (
+  SELECT DISTINCT word AS keyword, md5(word) AS priority
+  FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS word FROM benchmark) WHERE length(word) >= 4)"""
+
+
+@query(
+    "infer_entity_table",
+    f"""WITH {DICTIONARY},
+    hits AS (SELECT doc_id, arg_min(keyword, priority) AS entity
+             FROM documents JOIN keywords ON contains(lower(text), keyword) GROUP BY doc_id)
+    SELECT doc_id, coalesce(entity, 'none') AS entity FROM documents LEFT JOIN hits USING (doc_id)""",
+)
+def _infer_entity_table(spark, sf):
+    words = table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("keyword"))
+    rules = words.filter(F.char_length("keyword") >= 4).distinct().select("keyword", F.col("keyword").alias("entity"), F.md5("keyword").alias("priority"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return infer_entity_joined(rows, rules, "doc_id", "text", default="none").select("doc_id", "entity")
+
+
 KNOWN = ("Thand", "Queé", "Ción", "Schaft", "Tion")
 
 

@@ -20,6 +20,7 @@ from tonegauge.operators import evaluation as E
 from tonegauge.operators import filters as X
 from tonegauge.operators import serving as V
 from tonegauge.operators import summaries as S
+from tonegauge.operators.keyword_join import infer_entity_joined
 
 ARTICLE = "id int, date string, entity string, headline string, true_label string"
 
@@ -286,3 +287,25 @@ def test_entity_profile_defaults(spark):
     assert S.entity_profile(scored, temporal, summary, "A", "id").first().sector == "y"
     plain = S.entity_profile(scored.drop("sector"), temporal, summary, "A", "id").first()
     assert (plain.sector, plain.date) == ("Financial", date(2024, 1, 1))
+
+
+@pytest.mark.parametrize("word_boundary", [False, True])
+def test_keyword_table_equals_looking_for_every_keyword(spark, word_boundary):
+    draw = random.Random(4)
+    letters = "abcé. "
+    texts = [(i, "".join(draw.choices(letters, k=draw.randint(0, 60))).upper()) for i in range(200)] + [(900, None), (901, ""), (902, "x\\E y")]
+    words = ["".join(draw.choices(letters, k=draw.randint(1, 9))) for _ in range(150)] + ["", None, "abc", "ABC", "\\e"]
+    rules = [(w, f"entity-{at}", at) for at, w in enumerate(words)]
+    frame = spark.createDataFrame(texts, "id long, headline string")
+    table = spark.createDataFrame(rules, "keyword string, entity string, priority long")
+    found = infer_entity_joined(frame, table, "id", default=None, word_boundary=word_boundary)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        text = (r["headline"] or "").lower()
+
+        def holds(word):
+            return re.search(rf"(?<!\w){re.escape(word)}(?!\w)", text) if word_boundary else word in text
+
+        expected = next((e for w, e, _ in rules if w and holds(w.lower())), None)
+        assert r["entity"] == expected, (text, expected)
+    assert infer_entity_joined(frame, table.limit(0), "id", default="d").select("entity").distinct().collect()[0][0] == "d"

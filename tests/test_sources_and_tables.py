@@ -11,6 +11,8 @@ from tonegauge.operators import maintenance as M
 from tonegauge.plans.runs import refresh, run_current, run_legacy
 from tonegauge.sources import feeds as G
 from tonegauge.sources import headlines as L
+from tonegauge.schemas import columns
+from tonegauge.sources.keyed import KeyedTable
 from tonegauge.sources.tables import TableStore
 from tonegauge.operators.scoring import score_columns
 
@@ -242,3 +244,32 @@ def test_legacy_run_leaves_the_corpus_out(spark):
     assert rows(result.summary, "entity", "total_headlines") == [("Infosys", 1), ("Zomato", 1)]
     assert rows(result.sources, "source", "headlines") == [("wire", 1)]
     assert result.scored.count() == 3
+
+
+def test_an_upsert_rewrites_only_the_folders_it_touches(spark, folder):
+    schema = columns(k="string", n="long")
+    table = KeyedTable(spark, f"{folder}/keyed", schema, ["k"], 16)
+    frame = lambda *pairs: spark.createDataFrame(list(pairs), schema)
+    assert table.read().count() == 0 and table.upsert(frame()) == []
+    assert len(table.upsert(frame(*[(f"k{i}", i) for i in range(200)]))) == 16
+    before = set(table.read().inputFiles())
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    change = frame(("k7", -7), ("k7", -8), ("new", 1)).mapInArrow(counted, schema)
+    for _ in range(2):
+        touched = table.upsert(change)
+        assert 1 <= len(touched) <= 2
+        after = set(table.read().inputFiles())
+        gone = {f.split("/bucket=")[1].split("/")[0] for f in before ^ after}
+        assert gone == {str(b) for b in touched}
+    assert computed.value == 6  # once per upsert
+    assert rows(table.lookup(frame(("k7", 0), ("new", 0), ("k9", 0), ("x", 0)))) == [("k7", -7), ("k7", -8), ("k9", 9), ("new", 1)]
+    assert table.read().count() == 202
+    missing = frame((None, 1))
+    table.upsert(missing)
+    assert table.read().filter("k is null").count() == 1
