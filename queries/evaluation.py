@@ -16,7 +16,9 @@ from tonegauge.operators import evaluation as E
 from tonegauge.operators import scoring as S
 from tonegauge.operators.bayes import BayesModel, score_bayes, train_bayes
 from tonegauge.operators.training import evaluate_stored, train_classifier
-from tonegauge.session import balanced, materialise, run_dir
+from tonegauge.schemas import columns
+from tonegauge.session import materialise, run_dir
+from tonegauge.sources.bucketed import BucketedTable
 from tonegauge.sources.models import ModelStore
 
 # The predictor travels to the workers by value: they need no copy of this package.
@@ -61,7 +63,7 @@ def scored_out(df):
 
 @query("score_batch", f"WITH {DOC}, {VOWELS} SELECT {SCORED_OUT} FROM scored")
 def _score_batch(spark, sf):
-    rows = balanced(plain_doc(spark, sf).select("doc_id", "headline"))
+    rows = plain_doc(spark, sf).select("doc_id", "headline")
     return scored_out(S.score_batch(rows, vowel_model))
 
 
@@ -79,6 +81,22 @@ def _score_incremental(spark, sf):
     )
 
 
+@query(
+    "score_incremental_bucketed",
+    f"""WITH {DOC}, {VOWELS} SELECT {SCORED_OUT} FROM scored
+    WHERE {HASHED(STRIP('headline'))} NOT IN (SELECT {HASHED(STRIP('headline'))} FROM stored)""",
+)
+def _score_incremental_bucketed(spark, sf):
+    """The stored keys lie in buckets; only the incoming rows are shuffled."""
+    key = headline_hash(F.col("headline")).alias("headline_hash")
+    path = run_dir(spark, "scored-keys")
+    name = "scored_keys_" + path.rsplit("-", 1)[-1]
+    stored = BucketedTable(spark, name, path, columns(headline_hash="string"), "headline_hash", 16)
+    stored.append(labelled_doc(spark, sf).select(key))
+    incoming = plain_doc(spark, sf).select("doc_id", "headline", key)
+    return scored_out(S.score_batch(stored.only_new(incoming), vowel_model))
+
+
 @query(
     "score_columns",
     f"""WITH {EV} SELECT event_id, {R6('prob_positive', 'prob_positive')},

@@ -189,18 +189,27 @@ def _scan_headlines(spark, sf):
 
 
 # Lines of all documents in the single-byte encoding of the labelled files.
-LINES = rf"""
+LINES = r"""
+split_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 lines AS (
-  SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))),
-                                '[^\x09\x20-\x7e\x{{a1}}-\x{{ff}}]', '', 'g') AS line
-  FROM documents
+  SELECT doc_id, array_to_string(list_transform(string_split(line, ''), lambda c: CASE
+           WHEN regexp_matches(c, '^[\x09\x20-\x7e\x{a1}-\x{ff}]$') THEN c
+           ELSE '\u{' || upper(to_hex(unicode(c))) || '}' END), '') AS line
+  FROM split_lines
 )"""
-LATIN1_ONLY = r"[^\x09\x20-\x7e\xa1-\xff]"
+LATIN1 = r"[\x09\x20-\x7e\xa1-\xff]"
 
 
 def latin1_lines(spark, sf) -> DataFrame:
+    """Every line of every document; what the encoding lacks, and control characters, are written as escapes."""
     lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", F.regexp_replace("line", LATIN1_ONLY, "").alias("line"))
+
+    def written(c):
+        return F.when(F.rlike(c, F.lit(f"^{LATIN1}$")), c).otherwise(F.concat(F.lit("\\u{"), F.hex(F.ascii(c).cast("long")), F.lit("}")))
+
+    escaped = F.array_join(F.transform(F.split("line", ""), written), "")
+    plain = F.rlike("line", F.lit(f"^{LATIN1}*$"))
+    return lines.select("doc_id", F.when(plain, F.col("line")).otherwise(escaped).alias("line"))
 
 
 @query(
@@ -228,17 +237,17 @@ def _parse_labelled_text(spark, sf):
 @query(
     "scan_labelled_csv",
     f"""WITH {LINES} SELECT CASE WHEN doc_id % 3 = 0 THEN 'positive' ELSE 'neutral' END AS sentiment,
-    md5(line) AS sentence_md5 FROM lines WHERE line <> ''""",
+    md5(line) AS sentence_md5 FROM lines""",
 )
 def _scan_labelled_csv(spark, sf):
     """Written with semicolons, which the reader has to find out."""
     label = F.when(F.col("doc_id") % 3 == 0, "positive").otherwise("neutral")
     folder = run_dir(spark, "labelled-csv")
-    rows = latin1_lines(spark, sf).filter(F.col("line") != "").select(label, "line")
+    rows = latin1_lines(spark, sf).select(label, "line")
     rows.write.option("sep", ";").option("encoding", L.LABELLED_ENCODING).option(
         "quoteAll", True
     ).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(folder)
     back = L.scan_labelled_csv(spark, folder)
-    return back.select("sentiment", F.md5("sentence").alias("sentence_md5"))
+    return back.select("sentiment", F.md5(F.coalesce("sentence", F.lit(""))).alias("sentence_md5"))

@@ -273,3 +273,10 @@ def test_an_upsert_rewrites_only_the_folders_it_touches(spark, folder):
     missing = frame((None, 1))
     table.upsert(missing)
     assert table.read().filter("k is null").count() == 1
+
+
+def test_the_separator_is_the_one_behind_a_label(spark, tmp_path):
+    body = "".join(f"{'Positive' if i % 2 else 'neutral'};Profit rose, as expected, {i}\n" for i in range(200))
+    (tmp_path / "labels.csv").write_text(body + "no label here, at all\n")
+    out = L.scan_labelled_csv(spark, str(tmp_path))
+    assert rows(out.filter("sentence like '% 7'")) == [("Positive", "Profit rose, as expected, 7")]

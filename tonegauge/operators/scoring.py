@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tonegauge.config import EngineConfig
 from tonegauge.functions.probabilities import CLASS_ORDER, argmax_label, class_probability
 from tonegauge.operators.dedup import only_new
 
-BATCH_SIZE = 32
+BATCH_SIZE = EngineConfig().score_batch_size
 
 
 def score_columns(

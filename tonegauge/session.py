@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # One machine: `local` or `local[n]`; the workers of `local-cluster` have folders of their own.
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="tonegauge-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -50,12 +51,3 @@ def materialise(df: DataFrame, purpose: str, path: str | None = None) -> DataFra
     path = path or run_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Deal a small input that sits in few files out over all cores before heavy per-row work.
-
-    An input with a split for every core, which any large one has, is left as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegauge.functions.text import strip
+from tonegauge.operators.cleaning import LABEL_NAMES
 from tonegauge.operators.filters import require_columns
 from tonegauge.schemas import REQUIRED_HEADLINE_COLUMNS
 
@@ -66,18 +67,20 @@ def scan_labelled_csv(
 ) -> DataFrame:
     """Headerless `label<sep>sentence` file with an unknown separator.
 
-    One pass counts, per candidate, the lines it can split; the candidate that splits most lines is
-    used, the earlier one on a tie. Fewer than `min_rows` such lines is an error.
+    One pass counts, per candidate, the lines it can split and those whose first field is then a known
+    label spelling. Labels decide, for a sentence may hold the other separators; where no candidate
+    yields any, most split lines do; the earlier candidate wins a tie. Fewer than `min_rows` split lines are an error.
     """
-    lines = spark.read.text(path)
-    counts = lines.agg(
-        *[
-            F.count_if(F.contains(F.col("value"), F.lit(sep))).alias(str(i))
-            for i, sep in enumerate(separators)
-        ]
-    ).first()
-    best = max(range(len(separators)), key=lambda i: (counts[i], -i))
-    if counts[best] <= min_rows:
+    value = F.col("value")
+    parts = []
+    for i, sep in enumerate(separators):
+        splits = F.contains(value, F.lit(sep))
+        first = F.lower(strip(F.btrim(F.substring_index(value, sep, 1), F.lit('"'))))
+        parts.append(F.count_if(splits).alias(f"split{i}"))
+        parts.append(F.count_if(splits & first.isin(*LABEL_NAMES)).alias(f"known{i}"))
+    counts = spark.read.text(path).agg(*parts).first()
+    best = max(range(len(separators)), key=lambda i: (counts[f"known{i}"], counts[f"split{i}"], -i))
+    if counts[f"split{best}"] <= min_rows:
         raise ValueError(f"{path} has no more than {min_rows} lines with a known separator")
     return (
         spark.read.schema("sentiment STRING, sentence STRING")
