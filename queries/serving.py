@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import (
+    AS_OF,
     EV,
     DOC,
     ISO,
@@ -84,18 +85,27 @@ def _tier_counts(spark, sf):
     return S.tier_counts(summary_by_model(spark, sf))
 
 
-@query(
-    "overview_kpis",
-    f"""{RISK_CTES}, k AS (
+OVERVIEW_SQL = f"""{RISK_CTES}, k AS (
       SELECT (SELECT count(*) FROM ev) AS headlines, (SELECT count(DISTINCT entity) FROM ev) AS entities,
              (SELECT count(*) FROM risk WHERE risk_tier = 'HIGH') AS high_risk_entities,
              (SELECT count(*) FROM temporal WHERE flag) AS anomalies,
              (SELECT avg(sentiment_score) FROM ev) AS s)
     SELECT headlines, entities, high_risk_entities, anomalies, {R6('s', 'avg_sentiment')},
            CASE WHEN s > 0.05 THEN 'Positive' WHEN s < -0.05 THEN 'Negative' ELSE 'Neutral' END
-             AS direction FROM k""",
-)
+             AS direction FROM k"""
+
+
+@query("overview_kpis", OVERVIEW_SQL)
 def _overview_kpis(spark, sf):
+    return rounded(S.overview_direct(ev(spark, sf), AS_OF), "avg_sentiment")
+
+
+@query(
+    "overview_kpis_three_tables",
+    OVERVIEW_SQL,
+)
+def _overview_kpis_three_tables(spark, sf):
+    """The same figures from tables that are there already."""
     kpis = S.overview_kpis(ev(spark, sf), temporal(spark, sf), risk_summary(spark, sf))
     return rounded(kpis, "avg_sentiment")
 

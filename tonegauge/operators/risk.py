@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,8 +111,10 @@ def score_column(profile: RiskProfile) -> Column:
     return F.least(base * confidence * small, F.lit(SCORE_CAP))
 
 
-def finish_summary(joined: DataFrame, profile: RiskProfile = CURRENT) -> DataFrame:
-    """Score, tier (from the unrounded score) and the rounded report columns."""
+def finish_summary(
+    joined: DataFrame, profile: RiskProfile = CURRENT, carried: Sequence[str] = ()
+) -> DataFrame:
+    """Score, tier (from the unrounded score) and the rounded report columns; `carried` ones stay."""
     scored = joined.withColumn("__score", score_column(profile))
     return scored.select(
         "entity",
@@ -120,6 +124,7 @@ def finish_summary(joined: DataFrame, profile: RiskProfile = CURRENT) -> DataFra
         "anomaly_days",
         round_scaled(F.col("__score"), 2).alias("composite_risk_score"),
         risk_tier(F.col("__score"), profile).alias("risk_tier"),
+        *carried,
     )
 
 
@@ -136,9 +141,12 @@ def risk_summary(
 
 
 def summary_from_rollup(
-    rollup: DataFrame, profile: RiskProfile = CURRENT, as_of=None
+    rollup: DataFrame,
+    profile: RiskProfile = CURRENT,
+    as_of=None,
+    carried: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Composite risk straight from the daily sums.
+    """Composite risk straight from the daily sums; `carried` names more aggregates of an entity's days.
 
     One shuffle brings an entity's days together; window, flags and totals all use it, so there is
     no second pass over the headlines and no join. Recency weights depend on the day alone, hence
@@ -176,7 +184,8 @@ def summary_from_rollup(
     else:
         total = F.try_divide(F.sum("value_sum"), F.sum("value_count"))
         scores = [total.alias("avg_sentiment")]
-    return finish_summary(flagged.groupBy("entity").agg(*common, *scores), profile)
+    more = [c.alias(name) for name, c in (carried or {}).items()]
+    return finish_summary(flagged.groupBy("entity").agg(*common, *scores, *more), profile, list(carried or {}))
 
 
 def risk_summary_direct(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonegauge.config import CURRENT, RiskProfile
 from tonegauge.functions.buckets import (
     anomaly_amount,
     sentiment_direction,
@@ -15,6 +16,9 @@ from tonegauge.functions.buckets import (
 )
 from tonegauge.functions.probabilities import CLASS_ORDER
 from tonegauge.functions.rounding import fixed_text
+from tonegauge.functions.weights import half_life_weight
+from tonegauge.operators.risk import summary_from_rollup
+from tonegauge.operators.temporal import daily_rollup
 
 DEFAULT_SECTOR = "Financial"
 
@@ -83,6 +87,33 @@ def overview_kpis(scored: DataFrame, temporal: DataFrame, summary: DataFrame) ->
     return row.withColumn("direction", sentiment_direction(F.col("avg_sentiment")))
 
 
+def overview_direct(scored: DataFrame, as_of=None, profile: RiskProfile = CURRENT) -> DataFrame:
+    """The figures of `overview_kpis` from one scan, over the headlines that have an entity.
+
+    Daily sums serve all grains: days give the series and its flags, an entity's days its risk and tier,
+    all entities the one row. Age weights depend on the day, so they are applied to the sums.
+    """
+    rollup = daily_rollup(scored, weighted=False)
+    weight = half_life_weight(F.col("date"), as_of, profile.half_life_days)
+    weighed = rollup.withColumns(
+        {
+            "__sum": F.col("value_sum"),
+            "__count": F.col("value_count"),
+            "value_sum": F.col("value_sum") * weight,
+            "value_count": F.when(weight.isNotNull(), F.col("value_count")).otherwise(F.lit(0).cast("long")),
+        }
+    )
+    entities = summary_from_rollup(weighed, profile, as_of, {"__sums": F.sum("__sum"), "__counts": F.sum("__count")})
+    row = entities.agg(
+        F.coalesce(F.sum("total_headlines"), F.lit(0).cast("long")).alias("headlines"),
+        F.count("*").alias("entities"),
+        F.count_if(F.col("risk_tier") == "HIGH").alias("high_risk_entities"),
+        F.coalesce(F.sum("anomaly_days"), F.lit(0).cast("long")).alias("anomalies"),
+        F.try_divide(F.sum("__sums"), F.sum("__counts")).alias("avg_sentiment"),
+    )
+    return row.withColumn("direction", sentiment_direction(F.col("avg_sentiment")))
+
+
 def dataset_profile(articles: DataFrame) -> DataFrame:
     """One row: total, labelled and unlabelled rows, distinct entities and the date range."""
     return articles.agg(
