@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import corpus_pipeline
 from tests.llm.test_operators import SCHEMA, prose
-from tonegauge.llm import embeddings, toxicity
+from tonegauge.llm import embeddings, mixing, toxicity
 from tonegauge.llm.queries import QUERIES, SQL
 from tools.check_oracle import compare, connect
 
@@ -72,3 +72,29 @@ def test_pipeline_keeps_documents_apart_under_null_and_repeated_ids(spark, tmp_p
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.count() > 0 and packed.select("sequence_id").distinct().count() >= 1
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_mixing_solves_the_dual_and_takes_equal_rows_apart(spark):
+    """Rates against bisection of each source's constraint; rows of one id, or of none, are rows of their own."""
+    r = random.Random(4)
+    rows = [(None, "a b c d e", "x")] * 300 + [(7, "a b c", "x")] * 300 + [(i, prose(r, r.randint(1, 80)), "yyz"[i % 3]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(mixing.numbered(docs)).collect()
+    for source in "xyz":
+        mine = [g for g in got if g["source"] == source]
+        target = mine[0]["target"]
+        low, high = -5.0, 5.0
+        met = lambda m: sum(g["size"] * min(np.exp(min(m * g["size"], 5.0)), mixing.CEILING) for g in mine)
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if met(middle) < target else (low, middle)
+        for g in mine:
+            assert g["rate"] == pytest.approx(min(np.exp(min(low * g["size"], 5.0)), mixing.CEILING), rel=1e-5)
+            assert abs(g["copies"] - g["rate"]) <= 1 and g["copies"] <= mixing.CEILING
+        assert abs(sum(g["size"] * g["copies"] for g in mine) - target) <= 40
+    repeated = mixing.repeat_documents(docs)
+    taken = {}
+    for row in repeated.collect():
+        taken[row["source"]] = taken.get(row["source"], 0) + len(row["text"].split())
+    for source in "xyz":
+        assert taken[source] == sum(g["size"] * g["copies"] for g in got if g["source"] == source)

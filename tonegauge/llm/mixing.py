@@ -1,31 +1,37 @@
 """Mixing sources to target weights by entropy balancing.
 
-Every document gets the rate exp(lambda of its source): of all rates that meet one token constraint per
-source these are the closest to one in relative entropy. The multipliers minimise the convex dual
+Every document d of a source s gets a rate r_d, of all rates that meet one token constraint per source, sum of
+size_d * r_d = target_s, those closest to one in relative entropy (sum over documents of r log r - r). They tilt
+the documents exponentially, r_d = exp(lambda_s * size_d), bounded by `CEILING`, and the multipliers are
+the minimum of the convex dual
 
-    sum over documents of size * exp(lambda_s) - sum over sources of target_s * lambda_s,
+    sum over documents of exp(lambda_s * size_d) - sum over sources of target_s * lambda_s.
 
-whose gradient and (diagonal) Hessian are sums over documents by source. Each Newton step is
-lambda += target / sum(size * exp(lambda)) - 1; the step is bounded to one, which keeps the descent
-monotone. Since a source's documents share lambda, one distributed sum of sizes per source serves every
-step; the steps run on one row per source.
+Its gradient and (diagonal) Hessian are sums over documents by source. They are taken over a table of
+(source, size, documents), since documents of one size share a rate; each Newton step is one distributed
+aggregate of it and leaves one row per source. A step that leaves the interval in which the solution is
+known to lie, as the bound on the rates can cause, is replaced by halving the interval. Steps end when every
+target is met to `CLOSE`.
 
-Rates become copies: the whole part for everyone, and one more for the documents of a source whose
-place in a hash order lies below a cut; the document whose size is nearest to what is then missing is
-taken once more. The cut is found by sums over `BUCKETS` hash ranges per source and an exact order inside one range only.
+Rates become copies: the whole part for every document, and one more for those whose draw, a hash of id and content,
+lies furthest below the fraction of their rate. That order is cut where the target is reached: by
+sums over `BUCKETS` ranges per source and an exact order inside one range only. The document whose size is
+nearest to what is then missing is taken once more.
 
-Only DataFrame functions are used. Aggregates are partial before they shuffle, so a source with a third
-of all rows costs no more than others; the table of sources is joined by its size.
+Only DataFrame functions are used. Aggregates are partial before they shuffle; tables of one row per source are
+written, so their size is known when they are joined, and the source is no shuffle key of all rows.
 
 Edge cases: null text or a text without words has size 0 and is taken 0 times; sources order by code
-point with null last (null is a source of its own); a single source's target is its own size; rows with
-the same id and content are balanced like any other rows (ties in the hash order break by size, id,
-then are equal and cut together as one); an empty table gives no rows. Extra columns are ignored.
+point with null last (null is a source of its own); a single source's target is its own size; rows with null or repeated ids
+are rows of their own, and of rows equal in every way any may be taken, as many as the mix needs;
+an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tonegauge.llm.common import WORD
@@ -34,13 +40,22 @@ from tonegauge.session import materialise
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3.0  # no target and no document above this multiple
 BUCKETS = 1024
-STEPS = 60
+STEPS, CLOSE = 80, 1e-9  # Newton steps at most, and the relative distance to the targets that ends them
+ROW = "__row"
+
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written once, so that it stays."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-rows")
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the words of each text, counted without building them."""
+
+def sized(rows: DataFrame) -> DataFrame:
+    """Row number, doc_id, source, size (the words of each text, counted without building them), draw in [0, 1)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"))
+    draw = F.pmod(F.xxhash64("doc_id", text, F.lit("mix")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return rows.select(
+        ROW, "doc_id", F.col("source").cast("string").alias("source"), F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long").alias("size"), draw.alias("draw")
+    )
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -71,84 +86,102 @@ def targets(sizes: DataFrame) -> DataFrame:
     return rows.select("source", "source_size", F.least("full", -first["minus"] * F.col("weight")).alias("target"))
 
 
-def multipliers(by_source: DataFrame) -> DataFrame:
-    """Adds `rate`, exp of the dual solution: Newton steps on each source's sum of sizes."""
-    gain = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("target") / (F.col("source_size") * F.exp(x)) - 1.0))
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), lambda x, _: x + gain(x))
-    return by_source.withColumn("rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(solved)).otherwise(0.0))
-
-
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row."""
-    sizes = materialise(sized(docs).withColumn("draw", F.xxhash64("doc_id", F.lit("mix"))), "mix-sizes")
-    plan = materialise(multipliers(targets(sizes)), "mix-sources")
-    whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(CEILING))).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("more", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+def rate(multiplier: Column, size: Column) -> Column:
+    """exp(multiplier * size), bounded; the exponent is bounded first, so nothing overflows."""
+    return F.exp(F.least(multiplier * size, F.lit(math.log(CEILING))))
+
+
+def multipliers(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
+    """`by_source` (source, source_size, target) with `multiplier`, the dual solution by Newton steps."""
+    counts = materialise(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes-counted")
+    one = materialise(by_source.withColumns({"multiplier": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}), "mix-step")
+    for _ in range(STEPS):
+        now = one.select(F.col("source").alias("s"), "multiplier")
+        r = rate(F.col("multiplier"), F.col("size"))
+        moving = F.when(r < CEILING, r).otherwise(0.0)  # at the bound a rate no longer answers
+        tokens, size = F.col("n") * F.col("size"), F.col("size").cast("double")
+        sums = counts.join(now, F.col("source").eqNullSafe(F.col("s"))).groupBy("s").agg(F.sum(tokens * r).alias("met"), F.sum(tokens * size * moving).alias("slope"))
+        joined = one.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        gap = F.coalesce("met", F.lit(0.0)) - F.col("target")
+        m, low, high = F.col("multiplier"), F.when(gap <= 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap >= 0, F.col("multiplier")).otherwise(F.col("high"))
+        step = m - F.try_divide(gap, F.col("slope"))
+        # Without a bound on one side yet, a step is at most twice as far out, the first one 1.
+        outward = F.when(gap > 0, F.least(m * 2, F.lit(-1.0))).otherwise(F.greatest(m * 2, F.lit(1.0)))
+        halved = F.when(low.isNotNull() & high.isNotNull(), (low + high) / 2).otherwise(outward)
+        inside = step.isNotNull() & (low.isNull() | (step > low)) & (high.isNull() | (step < high)) & (F.abs(step) <= F.greatest(F.abs(m) * 2, F.lit(1.0)))
+        done = (F.abs(gap) <= F.col("target") * CLOSE) | (F.col("target") <= 0)
+        furthest = Observation()
+        one = materialise(
+            joined.select("source", "source_size", "target", F.when(done, m).when(inside, step).otherwise(halved).alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done"))
+            .observe(furthest, F.count_if(~F.col("done")).alias("open"))
+            .drop("done"),
+            "mix-step",
+        )
+        if not furthest.get["open"]:
+            break
+    return one.select("source", "source_size", "target", "multiplier")
+
+
+def mixed(rows: DataFrame) -> DataFrame:
+    """Row number, doc_id, source, size, source_size, target, rate, copies of every row of `numbered`."""
+    sizes = materialise(sized(rows), "mix-sizes")
+    plan = multipliers(sizes, materialise(targets(sizes), "mix-sources"))
+    few = plan.select(F.col("source").alias("s"), "source_size", "target", "multiplier")
     same_source = F.col("source").eqNullSafe(F.col("s"))
-    few = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "more")
-
-    # Hash range in which the extra copies of a source end.
-    bucket = F.pmod("draw", F.lit(BUCKETS))
-    ranges = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    r = F.when((F.col("size") > 0) & (F.col("target") > 0), rate(F.col("multiplier"), F.col("size"))).otherwise(F.lit(0.0))
+    tilted = sizes.join(few, same_source).drop("s").withColumn("rate", r)
+    # Just below a whole number counts as that number.
+    whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(CEILING))).cast("long")
+    tilted = tilted.withColumn("whole", whole)
+    # Furthest below its fraction first; between -1 and 1. Rows that may not or need not be taken again have no key.
+    key = F.when((F.col("size") > 0) & (F.col("whole") < int(CEILING)) & (F.col("rate") > 0), F.col("draw") - (F.col("rate") - F.col("whole")))
+    tilted = materialise(tilted.select(ROW, "doc_id", "source", "size", "source_size", "target", "rate", "whole", key.alias("key")), "mix-tilted")
+
+    bucket = F.floor((F.col("key") + 1) * (BUCKETS / 2))
+    more = tilted.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("whole"))).alias("more"))
+    more = materialise(more.withColumnRenamed("source", "s"), "mix-more")
+    ranges = tilted.where("key is not null").groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source").orderBy("bucket")
-    ranges = ranges.withColumn("upto", F.sum("words").over(running)).join(few, same_source)
+    ranges = ranges.withColumn("upto", F.sum("words").over(running)).join(more, same_source)
     cuts = ranges.where("upto - words <= more and upto > more").groupBy("s").agg(
         F.min("bucket").alias("cut"), F.min(F.col("more") - (F.col("upto") - F.col("words"))).alias("room")
     )
-    plan = materialise(few.alias("p").join(cuts.withColumnRenamed("s", "c"), F.col("s").eqNullSafe(F.col("c")), "left").drop("c"), "mix-plan")
-    rows = sizes.withColumn("bucket", bucket).join(plan, same_source).drop("s")
-    order = ["draw", "size", "doc_id"]
+    cuts = materialise(more.join(cuts.withColumnRenamed("s", "c"), F.col("s").eqNullSafe(F.col("c")), "left").drop("c"), "mix-cuts")
+
+    order = ["key", ROW]
+    here = F.struct(*order)
     inside = Window.partitionBy("source").orderBy(*order)
     # Only the rows of one range per source are ordered, and taken while they fit.
-    edge = (
-        rows.where("bucket = cut")
-        .select("source", *order, "room")
-        .groupBy("source", *order)
-        .agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room"))
-        .withColumn("done", F.sum(F.col("size") * F.col("n")).over(inside))
-        .where("done <= room")
-        .groupBy("source")
-        .agg(F.max(F.struct(*order)).alias("last"))
-        .select(F.col("source").alias("e"), "last")
-    )
-    here = F.struct(*order)
-    below = (
-        F.when(F.col("more") <= 0, 0)
-        .when(F.col("cut").isNull() | (F.col("bucket") < F.col("cut")), 1)
-        .when((F.col("bucket") == F.col("cut")) & F.col("last").isNotNull() & (here <= F.col("last")), 1)
+    edge = tilted.where("key is not null").join(cuts, same_source).where(bucket == F.col("cut")).withColumn("done", F.sum("size").over(inside)).where("done <= room")
+    edge = materialise(edge.groupBy("s").agg(F.max(here).alias("last")), "mix-edge").withColumnRenamed("s", "e")
+    ends = materialise(cuts.join(edge, F.col("s").eqNullSafe(F.col("e")), "left").drop("e"), "mix-ends")
+    extra = (
+        F.when(F.col("key").isNull() | (F.col("more") <= 0), 0)
+        .when(F.col("cut").isNull() | (bucket < F.col("cut")), 1)
+        .when((bucket == F.col("cut")) & F.col("last").isNotNull() & (here <= F.col("last")), 1)
         .otherwise(0)
     )
-    drawn = rows.join(edge, F.col("source").eqNullSafe(F.col("e")), "left").withColumn("extra", below)
+    drawn = tilted.join(ends, same_source).withColumn("extra", extra).drop("s", "cut", "room", "last")
     # What is still missing goes to the one document, of those not drawn, whose size is nearest to it.
-    missing = drawn.groupBy("source").agg((F.max("more") - F.sum(F.col("size") * F.col("extra"))).alias("missing"))
-    spare = drawn.where("extra = 0 and size > 0").join(missing.withColumnRenamed("source", "m"), F.col("source").eqNullSafe(F.col("m")))
-    nearest = (
-        spare.where(f"missing > 0 and whole < {int(CEILING)}")
-        .groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("gap"), *order)).alias("f"), F.max("missing").alias("missing"))
-        .where("f.gap < missing")
-        .select(F.col("source").alias("n"), F.struct(*(F.col(f"f.{c}") for c in order)).alias("filler"))
-    )
-    extra = F.when(F.col("filler").isNotNull() & (here == F.col("filler")), 1).otherwise(F.col("extra"))
-    copies = F.when(F.col("size") > 0, F.least(F.col("whole") + extra, F.lit(int(CEILING)))).otherwise(0).cast("long")
-    return drawn.join(nearest, F.col("source").eqNullSafe(F.col("n")), "left").select(
-        "doc_id", "source", "draw", "size", "source_size", "target", copies.alias("copies")
+    missing = materialise(drawn.groupBy("source").agg((F.first("more") - F.sum(F.col("size") * F.col("extra"))).alias("missing")).withColumnRenamed("source", "m"), "mix-missing")
+    spare = drawn.where("extra = 0 and key is not null").join(missing, F.col("source").eqNullSafe(F.col("m"))).where("missing > 0")
+    nearest = spare.groupBy("m").agg(F.min(F.struct(F.abs(F.col("size") - F.col("missing")).alias("gap"), F.col(ROW).alias("filler"))).alias("f"), F.first("missing").alias("missing"))
+    nearest = materialise(nearest.where("f.gap < missing").select(F.col("m").alias("f_source"), "f.filler"), "mix-filler")
+    filled = F.when(F.col(ROW) == F.col("filler"), 1).otherwise(F.col("extra"))
+    return drawn.join(nearest, F.col("source").eqNullSafe(F.col("f_source")), "left").select(
+        ROW, "doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") + filled).cast("long").alias("copies")
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
-    return mixed(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """doc_id, size, source_size, target, taken, rate."""
+    rows = numbered(docs.select("doc_id", "text", "source"))
+    return mixed(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "rate")
 
 
 def repeat_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each row of `docs` as often as it is taken, all columns kept.
-
-    Copies follow from source and id alone, so the plan is joined back by id. Rows that share an id and a
-    source take the copies of one of them.
-    """
-    plan = mixed(docs).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    plan = plan.where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    names = docs.columns
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*names)
+    """The mix as documents: each row of `docs` as often as it is taken, all columns kept."""
+    rows = numbered(docs)
+    plan = mixed(rows.select(ROW, "doc_id", "text", "source")).where("copies > 0").select(ROW, "copies")
+    taken = rows.join(plan.withColumnRenamed(ROW, "__taken").withColumnRenamed("copies", "__copies"), F.col(ROW) == F.col("__taken"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
