@@ -26,7 +26,6 @@ from queries.base import (
     page,
     query,
     rounded,
-    table,
     temporal_out,
 )
 from queries.feeds import FEED_ARTICLES, ITEMS, NEWS, news_payloads, rss_payloads

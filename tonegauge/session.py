@@ -51,3 +51,13 @@ def materialise(df: DataFrame, purpose: str, path: str | None = None) -> DataFra
     path = path or run_dir(spark, purpose)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Deal a small input that sits in few files out over all cores before heavy per-row work.
+
+    An input with a split for every core, which any large one has, is left as it is: no shuffle. The
+    rows and the operators behind them are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
