@@ -5,7 +5,8 @@
 * A query walks the cells in order of the summed distances of its halves (multi-sequence order: the
   n best cells lie on the staircase (i + 1) * (j + 1) <= n of the two sorted lists). The length of the
   walk is the shortest that reaches `RECALL` for partners exactly at the limit, the hardest links,
-  measured on the fitted sample.
+  measured on the fitted sample. Where vectors crowd around one direction that may be the whole grid,
+  which is then walked: the walk has no cap, and at its end it is exact.
 * Every candidate is verified by its cosine in double precision. A link counts for both ends: the query's
   walk adds it to the query, and to its partner too where the partner's walk does not come by.
 * Equal vectors are one row with a count. A cell with many members or visitors is dealt in blocks of
@@ -37,7 +38,6 @@ from tonegauge.session import materialise
 
 LIMIT, RECALL = 0.95, 0.98
 FIT_ROWS, CENTRES, ROUNDS = 4096, 32, 12
-LONGEST_WALK = 256
 BLOCK = 2048
 GRID = CENTRES * CENTRES
 INDEXED = 16  # most lengths of vector that get codebooks
@@ -79,16 +79,39 @@ def walk(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], length: int) -> np
 
 
 def walk_length(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> int:
-    """Shortest walk that meets a partner at cosine `LIMIT`, from either end, with probability `RECALL`."""
+    """Shortest walk that meets a partner, from either end, with probability `RECALL`.
+
+    Measured twice, the longer walk counts: for partners at cosine `LIMIT` in any direction, and for the
+    links within the sample itself. Those say more where vectors crowd around one direction: there two
+    vectors may link although what tells them apart from the crowd, and so their cells, has nothing in common.
+    """
+    most = len(books[0]) * len(books[1])
     noise = np.random.default_rng(13).normal(size=x.shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
     noise /= np.linalg.norm(noise, axis=1, keepdims=True)
     y = LIMIT * x + np.sqrt(1 - LIMIT**2) * noise
-    most = min(LONGEST_WALK, len(books[0]) * len(books[1]))
-    a, b = walk(x, books, most), walk(y, books, most)
-    found = lambda v, cell: np.where((v == cell[:, None]).any(1), (v == cell[:, None]).argmax(1), most)
-    steps = np.minimum(found(a, b[:, 0]), found(b, a[:, 0])) + 1
-    return int(min(most, np.quantile(steps, RECALL, method="higher")))
+    a, b = steps_to(x, books, most), steps_to(y, books, most)
+    rows = np.arange(len(x))
+    own, other = a.argmin(1), b.argmin(1)
+    steps = np.minimum(a[rows, other], b[rows, own]) + 1
+    length = int(np.quantile(steps, RECALL, method="higher"))
+    counts = np.zeros(most + 1, np.int64)
+    for start in range(0, len(x), 512):
+        linked = x[start : start + 512] @ x.T >= LIMIT
+        i, j = np.nonzero(linked & (rows[None, :] > rows[start : start + 512, None]))
+        i += start
+        counts += np.bincount(np.minimum(a[i, own[j]], a[j, own[i]]) + 1, minlength=most + 1)
+    if counts.any():
+        length = max(length, int(np.searchsorted(np.cumsum(counts), RECALL * counts.sum())))
+    return length
+
+
+def steps_to(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
+    """Place of every cell of the grid in every row's walk."""
+    order = walk(x, books, most)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(most, dtype=order.dtype), order.shape), 1)
+    return place
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
