@@ -40,7 +40,7 @@ from tonegauge.session import materialise
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3.0  # no target and no document above this multiple
 BUCKETS = 1024
-STEPS, CLOSE = 80, 1e-9  # Newton steps at most, and the relative distance to the targets that ends them
+STEPS, CLOSE = 80, 1e-7  # Newton steps at most, and the relative distance to the targets that ends them
 ROW = "__row"
 
 
@@ -94,7 +94,13 @@ def rate(multiplier: Column, size: Column) -> Column:
 def multipliers(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
     """`by_source` (source, source_size, target) with `multiplier`, the dual solution by Newton steps."""
     counts = materialise(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes-counted")
-    one = materialise(by_source.withColumns({"multiplier": F.lit(0.0), "low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}), "mix-step")
+    # A multiplier of this order changes rates by a factor of e where the tokens are.
+    scales = counts.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum(F.col("n") * F.col("size") * F.col("size").cast("double"))).alias("scale"))
+    # A source that needs every document at the bound has its solution: no document is smaller than one word.
+    start = F.when(F.col("target") >= F.col("source_size") * CEILING * (1 - CLOSE), F.lit(math.log(CEILING))).otherwise(F.lit(0.0))
+    one = by_source.join(scales.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    unknown = F.lit(None).cast("double")
+    one = materialise(one.withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "multiplier": start, "low": unknown, "high": unknown}), "mix-step")
     for _ in range(STEPS):
         now = one.select(F.col("source").alias("s"), "multiplier")
         r = rate(F.col("multiplier"), F.col("size"))
@@ -105,14 +111,14 @@ def multipliers(sizes: DataFrame, by_source: DataFrame) -> DataFrame:
         gap = F.coalesce("met", F.lit(0.0)) - F.col("target")
         m, low, high = F.col("multiplier"), F.when(gap <= 0, F.col("multiplier")).otherwise(F.col("low")), F.when(gap >= 0, F.col("multiplier")).otherwise(F.col("high"))
         step = m - F.try_divide(gap, F.col("slope"))
-        # Without a bound on one side yet, a step is at most twice as far out, the first one 1.
-        outward = F.when(gap > 0, F.least(m * 2, F.lit(-1.0))).otherwise(F.greatest(m * 2, F.lit(1.0)))
+        # Without a bound on one side yet, a step is at most twice as far out, the first one of the scale.
+        outward = F.when(gap > 0, F.least(m * 2, -F.col("scale"))).otherwise(F.greatest(m * 2, F.col("scale")))
         halved = F.when(low.isNotNull() & high.isNotNull(), (low + high) / 2).otherwise(outward)
-        inside = step.isNotNull() & (low.isNull() | (step > low)) & (high.isNull() | (step < high)) & (F.abs(step) <= F.greatest(F.abs(m) * 2, F.lit(1.0)))
+        inside = step.isNotNull() & (low.isNull() | (step > low)) & (high.isNull() | (step < high)) & (F.abs(step) <= F.greatest(F.abs(m) * 2, F.col("scale")))
         done = (F.abs(gap) <= F.col("target") * CLOSE) | (F.col("target") <= 0)
         furthest = Observation()
         one = materialise(
-            joined.select("source", "source_size", "target", F.when(done, m).when(inside, step).otherwise(halved).alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done"))
+            joined.select("source", "source_size", "target", "scale", F.when(done, m).when(inside, step).otherwise(halved).alias("multiplier"), low.alias("low"), high.alias("high"), done.alias("done"))
             .observe(furthest, F.count_if(~F.col("done")).alias("open"))
             .drop("done"),
             "mix-step",
