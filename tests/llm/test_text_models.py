@@ -181,6 +181,53 @@ def test_scores_against_brute_force(spark, rows, monkeypatch):
         assert total == pytest.approx(1.0)
 
 
+def test_exchange_meets_every_neighbour_of_every_word(spark, rows, monkeypatch):
+    monkeypatch.setattr(class_bigrams, "BLOCK_BYTES", 2000)
+    blocks = class_bigrams.encoded(documents(spark, rows))
+    known = class_bigrams.vocabulary(blocks, 24)
+    assert known.parts > 1
+    top = class_bigrams.most_frequent(known, 12)
+    train = [[*(w.encode() for w in words_of(t)), b" "] for i, t in rows if not held(i)]
+    count = Counter(w for doc in train for w in doc if w != b" ")
+    assert top == sorted(count, key=lambda w: (-count[w], w))[:12]
+    state = class_bigrams.anchored(known, {w: k % 3 for k, w in enumerate(top)})
+    state = class_bigrams.moved(known, state, *class_bigrams.contexts(blocks, known, state, 3), 3, all_words=False)
+    of = {bytes(r["word"]): r["class"] for r in class_bigrams.described(known, state, 3).words.collect()}
+    assert len(set(of.values())) > 3
+    beside, n = class_bigrams.contexts(blocks, known, state, 3)
+    expected, steps = Counter(), np.zeros((5, 5))
+    for doc in train:
+        for a, b in zip([b" ", *doc], doc):
+            steps[of[a], of[b]] += 1
+            if a == b != b" ":
+                expected[a, 10] += 1
+            else:
+                expected[b, of[a]] += 1
+                expected[a, 5 + of[b]] += 1
+    assert np.array_equal(n, steps)
+    got, own, places = Counter(), {}, {}
+    for r in known.rows.collect():
+        if r["block"] < 0:
+            own[r["part"]] = bytes(r["words"]).split(b"\n")
+        else:
+            places[r["part"], r["block"]] = class_bigrams.numbers(r["places"])
+    for r in beside.collect():
+        at = np.repeat(places[r["part"], r["block"]], class_bigrams.numbers(r["sizes"]))
+        for i, cell, m in zip(at, class_bigrams.numbers(r["cells"]), class_bigrams.numbers(r["counts"])):
+            got[own[r["part"]][i], int(cell)] += int(m)
+    assert got == Counter({key: m for key, m in expected.items() if key[0] != b" "})
+
+
+def test_words_away_from_anchors_find_their_classes(spark):
+    r = random.Random(4)
+    xs, ys = [f"x{k}" for k in range(15)], [f"y{k}" for k in range(15)]
+    texts = [" ".join(["x0", *(r.choice((ys, xs)[k % 2]) for k in range(40)), "y0"]) for _ in range(150)]
+    texts += ["p q " * 100] * 100
+    model = class_bigrams.learn(class_bigrams.encoded(documents(spark, list(enumerate(texts)))), 4, 2)
+    assert len(xs + ys) + 3 == model.words.count()
+    assert model.distinct[model.rest] == 0 and model.tokens[model.rest] == 0
+
+
 def test_classes_beat_word_counts_on_held_out_text(spark):
     r = random.Random(1)
     tongues = [[f"{x}{k}" for k in range(120)] for x in "abcd"]
