@@ -174,6 +174,19 @@ def test_pipeline_drops_near_copies_of_similarity_08(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in kept) == sorted(set(least))
 
 
+def test_pipeline_near_copies_come_from_the_popcount_search(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(1500)) for _ in range(6)]
+    near = [t.rsplit(" ", 1)[0] + " other" for t in texts]
+    prints = [[near_copies.majority(near_copies.runs_of(near_copies.words_of(t))) for t in x] for x in (texts, near)]
+    assert all((a ^ b).bit_count() <= 3 for a, b in zip(*prints))
+    monkeypatch.setattr(near_copies, "bands", lambda s: np.zeros(0, np.int64))  # the search alone
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, texts + near), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(6))
+
+
 def test_near_copies_keeps_every_text_under_null_and_repeated_ids(spark):
     docs, own = unlike_rows(spark)
     kept = [(r["doc_id"], r["text"]) for r in near_copies.keep_first(docs).collect()]

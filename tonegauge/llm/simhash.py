@@ -54,7 +54,11 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         shingles = (joined[a:b] for a, b in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist()))
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bit i is set if more than half of them set it."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):  # bounded memory for very long texts
         part = h[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
