@@ -309,3 +309,20 @@ def test_keyword_table_equals_looking_for_every_keyword(spark, word_boundary):
         expected = next((e for w, e, _ in rules if w and holds(w.lower())), None)
         assert r["entity"] == expected, (text, expected)
     assert infer_entity_joined(frame, table.limit(0), "id", default="d").select("entity").distinct().collect()[0][0] == "d"
+
+
+def test_keyword_tables_as_one_pattern_and_by_grams_agree(spark, monkeypatch):
+    from tonegauge.operators import keyword_join
+
+    words = ["bank", "banker", "ban", "x+y", "a", "interest rate", "österreich", "rate"]
+    rules = spark.createDataFrame([(w, f"e{k % 5}", f"p{(k * 5) % 8}") for k, w in enumerate(words)], "keyword string, entity string, priority string")
+    texts = [None, "", "BANKER", "banish", "X+Y", "interest  rate", "Österreich", "zzz", "the interest rate of a bank"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, headline string")
+    for boundary in (False, True):
+        whole = keyword_join.infer_entity_joined(df, rules, "id", word_boundary=boundary)
+        # One pass over the rows: no row is dealt by gram.
+        assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(keyword_join, "PATTERN", 3)
+            by_grams = keyword_join.infer_entity_joined(df, rules, "id", word_boundary=boundary)
+            assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, by_grams.collect()), key=repr)

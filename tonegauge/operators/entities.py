@@ -109,11 +109,11 @@ def matched_entity(text: Column, rules: Sequence[Rule], word_boundary: bool = Fa
     pattern = f"({keyword_pattern(list(rank))})"
     pattern = rf"(?U)(?<!\w)(?={pattern}(?!\w))" if word_boundary else f"(?={pattern})"
     hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
-    places = {word: at + 1 for at, word in enumerate(best)}
-    ranks = _listed([str(best[word]) for word in places]).cast("array<int>")
-    words = _listed(list(places))
-    first = F.array_min(F.transform(hits, lambda hit: F.get(ranks, (F.array_position(words, hit) - 1).cast("int"))))
-    return F.get(_listed([entity for _, entity in rules]), first)
+    # The words by rank: the first of them that was hit counts, found by one walk over them for each text.
+    ordered = sorted(best, key=lambda word: best[word])
+    words = _listed(ordered)
+    place = F.array_position(words, F.get(F.array_intersect(words, hits), F.lit(0)))
+    return F.get(_listed([rules[best[word]][1] for word in ordered]), (place - 1).cast("int"))
 
 
 def infer_entity(
