@@ -326,3 +326,15 @@ def test_keyword_tables_as_one_pattern_and_by_grams_agree(spark, monkeypatch):
             m.setattr(keyword_join, "PATTERN", 3)
             by_grams = keyword_join.infer_entity_joined(df, rules, "id", word_boundary=boundary)
             assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, by_grams.collect()), key=repr)
+
+
+def test_bayes_counts_words_inside_their_row(spark):
+    from tonegauge.operators import bayes
+
+    rows = [(0, "good good day", "positive"), (1, "bad day", "negative"), (2, "", "neutral"), (3, None, "neutral")]
+    df = spark.createDataFrame(rows, "doc_id int, headline string, true_label string")
+    got = df.withColumn("w", F.sort_array(bayes.words_of(F.col("headline")))).select("doc_id", F.inline(bayes.runs("w")))
+    assert sorted(map(tuple, got.collect())) == [(0, "day", 1), (0, "good", 2), (1, "bad", 1), (1, "day", 1)]
+    model = bayes.train_bayes(df)
+    plan = bayes.log_likelihoods(df, model, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1

@@ -66,8 +66,8 @@ def train_bayes(
 
 def log_likelihoods(df: DataFrame, model: BayesModel, row_id: str, text: str = "headline") -> DataFrame:
     """row_id and, per class, the sum of the logs of its words (l_<label>); rows without a known word are absent."""
-    each = df.select(row_id, F.explode(words_of(F.col(text))).alias("word"))
-    counted = each.groupBy(row_id, "word").agg(F.count("*").alias("__n"))
+    each = df.select(row_id, F.sort_array(words_of(F.col(text))).alias("__words"))
+    counted = each.select(row_id, F.inline(runs("__words")))
     logs = [
         F.sum(F.col("__n") * F.ln((F.col(f"n_{name}") + SMOOTHING) / F.lit(float(tokens + SMOOTHING * model.vocabulary)))).alias(f"l_{name}")
         for name, tokens in zip(model.labels, model.tokens)
@@ -75,6 +75,19 @@ def log_likelihoods(df: DataFrame, model: BayesModel, row_id: str, text: str = "
     return counted.join(model.words, "word").groupBy(row_id).agg(*logs)
 
 
+def runs(words: str) -> Column:
+    """Distinct words (word, __n) of a sorted array, counted inside the row."""
+    size = F.size(words)
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+
+    def counted(at: Column) -> Column:
+        last = lambda k: F.coalesce(F.get(at, k + 1), size)
+        return F.transform(at, lambda i, k: F.struct(F.get(words, i).alias("word"), (last(k) - i).cast("long").alias("__n")))
+
+    return F.transform(F.array(starts), counted)[0]
+
+
 def score_bayes(df: DataFrame, model: BayesModel, row_id: str, text: str = "headline") -> DataFrame:
     """The rows of `df` with class probabilities, label, confidence and score; `row_id` must be unique."""
     total = sum(model.documents)
