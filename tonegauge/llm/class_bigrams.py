@@ -432,7 +432,7 @@ def moved(known: Vocabulary, state: DataFrame, beside: DataFrame, n: np.ndarray,
     An occurrence in class k behind class a has P(k | a) / tokens(k), in front of class b P(b | k), beside
     itself both; they come from the class bigrams `n`. To first order this is how the likelihood rises. A word
     stays where it is if no class is better. One whose neighbours have no class either goes to the class
-    `classes`, that of words without evidence, and leaves it once they have one.
+    `classes`, that of words without evidence; with `all_words` that class is a neighbour like any other, and is left.
     """
     smooth = n + 0.5
     behind = np.log(smooth / smooth.sum(1, keepdims=True))
@@ -440,7 +440,7 @@ def moved(known: Vocabulary, state: DataFrame, beside: DataFrame, n: np.ndarray,
     weights = np.vstack([left, behind[:classes].T, np.diag(left)])  # (K + 2 in front, K + 2 behind, itself) x K
     width = len(weights)
     apart = np.ones((width, 1))
-    apart[[classes, len(n) + classes, width - 1]] = 0.0  # words without a class say nothing of each other's, or of their own
+    apart[[classes, len(n) + classes, width - 1]] = 0.0  # neighbours with a class come first for words without one
 
     def placed(rows: pa.Table, own: pa.Table) -> pa.Table:
         lean()
@@ -455,9 +455,12 @@ def moved(known: Vocabulary, state: DataFrame, beside: DataFrame, n: np.ndarray,
             counts.append(numbers(said.as_buffer()))
         beside = np.bincount(np.concatenate(keys), weights=np.concatenate(counts), minlength=len(old) * width).reshape(-1, width)
         score, evident = beside @ weights, beside.any(1)
-        best, every, settled = score.argmax(1), np.arange(len(old)), old < classes
-        score[~settled], evident[~settled] = beside[~settled] @ (weights * apart), (beside[~settled] * apart.T).any(1)
-        best[~settled] = score[~settled].argmax(1)
+        every, settled = np.arange(len(old)), old < classes
+        near = ~settled & (beside * apart.T).any(1)
+        score[near] = beside[near] @ (weights * apart)
+        if not all_words:
+            evident &= near
+        best = score.argmax(1)
         stays = np.full(len(old), -np.inf)
         stays[settled] = score[every[settled], old[settled]] + 1e-9
         new = np.where(evident & (score[every, best] > stays), best, old)
