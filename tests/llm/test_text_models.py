@@ -181,6 +181,15 @@ def test_scores_against_brute_force(spark, rows, monkeypatch):
         assert total == pytest.approx(1.0)
 
 
+def test_a_block_is_a_small_share_of_an_executors_memory(spark):
+    text = "".join(f"w{i % 4000} " for i in range(40_000))
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).coalesce(1)
+    blocks = class_bigrams.encoded(docs).select("block", F.size("doc_ids").alias("n"), F.length("tokens").alias("size")).collect()
+    assert sum(r["n"] for r in blocks) == 50 and len({r["block"] for r in blocks}) == len(blocks) > 1
+    assert max(r["n"] for r in blocks) * len(text) <= (4 << 20) + len(text)
+    assert sum(r["size"] for r in blocks) == 50 * 40_001 * 4
+
+
 def test_exchange_meets_every_neighbour_of_every_word(spark, rows, monkeypatch):
     monkeypatch.setattr(class_bigrams, "BLOCK_BYTES", 2000)
     blocks = class_bigrams.encoded(documents(spark, rows))

@@ -49,7 +49,7 @@ from tonegauge.session import materialise, run_dir
 
 CLASSES = 16  # classes that words are clustered into
 ANCHORS = 512  # most frequent words, clustered one by one; the rest follows them
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20  # the JVM and a Python worker hold a few copies of a block for each task
 ROUNDS = 30  # of an exchange, at most
 RISE = 0.01  # log-likelihood a token that a round over the whole vocabulary must add for another one
 PRIOR, UNSEEN, BASE = 5.0, 0.5, 0.1
@@ -161,7 +161,7 @@ class Vocabulary:
 
 def vocabulary(blocks: DataFrame, classes: int = CLASSES) -> Vocabulary:
     total, ends = blocks.select(F.count(F.lit(1)), F.sum(F.size(F.filter("held", lambda h: ~h)))).first()
-    parts = min(max(total * classes // 32, 1), 1 << 16)  # a part holds a vector of neighbours for each of its words
+    parts = min(max(total * classes // 96, 1), 1 << 16)  # a part holds a vector of neighbours for each of its words
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -445,15 +445,14 @@ def moved(known: Vocabulary, state: DataFrame, beside: DataFrame, n: np.ndarray,
     def placed(rows: pa.Table, own: pa.Table) -> pa.Table:
         lean()
         place = {b.as_py(): p for b, p in zip(rows.column("block"), rows.column("places")) if b.as_py() >= 0}
-        old, keys, counts = np.zeros(0, np.uint8), [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
-        for block, sizes, cells, said, of in zip(*(own.column(c) for c in ("block", "sizes", "cells", "counts", "classes"))):
-            if block.as_py() == -1:
-                old = np.frombuffer(of.as_py(), np.uint8)
-                continue
-            at = numbers(place[block.as_py()].as_buffer()).astype(np.int64) * width
-            keys.append(np.repeat(at, numbers(sizes.as_buffer())) + numbers(cells.as_buffer()))
-            counts.append(numbers(said.as_buffer()))
-        beside = np.bincount(np.concatenate(keys), weights=np.concatenate(counts), minlength=len(old) * width).reshape(-1, width)
+        (old,) = (np.frombuffer(of.as_py(), np.uint8) for block, of in zip(own.column("block"), own.column("classes")) if block.as_py() == -1)
+        beside = np.zeros(len(old) * width)
+        for block, sizes, cells, said in zip(*(own.column(c) for c in ("block", "sizes", "cells", "counts"))):
+            if block.as_py() >= 0:
+                at = numbers(place[block.as_py()].as_buffer()).astype(np.int64) * width
+                # A block names each cell of a word once.
+                beside[np.repeat(at, numbers(sizes.as_buffer())) + numbers(cells.as_buffer())] += numbers(said.as_buffer())
+        beside = beside.reshape(-1, width)
         score, evident = beside @ weights, beside.any(1)
         every, settled = np.arange(len(old)), old < classes
         near = ~settled & (beside * apart.T).any(1)
