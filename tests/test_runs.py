@@ -86,6 +86,25 @@ def test_stored_articles_without_a_score_are_scored(spark, tmp_path):
     assert run.result().scored.count() == 15
 
 
+def test_a_run_reads_and_shuffles_each_table_once(spark, tmp_path):
+    plans = {}
+
+    class Store(TableStore):
+        def append(self, name, new, part=None):
+            plans.setdefault(name, []).append(new._jdf.queryExecution().executedPlan().toString())
+            return super().append(name, new, part)
+
+    store = Store(spark, str(tmp_path))
+    run = StoredRun.of_articles(store, Model(spark), [F.col("headline")], as_of=AS_OF)
+    run(articles(spark, range(10)))
+    run(articles(spark, range(5, 15)))
+    # Nothing was stored in front of the first run: nothing is joined or shuffled. Later, both sides of the anti join.
+    assert [p.count("Exchange") for p in plans["news_articles"]][0] == 0 == [p.count("Join") for p in plans["scored_headlines"]][0]
+    assert plans["scored_headlines"][1].count("Scan parquet") <= 2 and plans["scored_headlines"][1].count("LeftAnti") == 1
+    assert "LeftSemi" not in plans["scored_headlines"][1]
+    assert run.result().scored.count() == 15
+
+
 def test_journal_numbers_runs_and_keeps_marks(spark, tmp_path):
     journal = RunJournal(spark, f"{tmp_path}/runs", ("a", "b"))
     run = journal.current()

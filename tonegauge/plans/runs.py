@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonegauge.config import LEGACY, EngineConfig
 from tonegauge.operators.cleaning import clean_articles
-from tonegauge.operators.dedup import only_new_to_history
+from tonegauge.operators.dedup import only_new
 from tonegauge.operators.dating import with_time_weight
 from tonegauge.operators.entities import enrich_entities
 from tonegauge.operators.filters import exclude_evaluation_corpus
@@ -159,11 +159,10 @@ class StoredRun:
         profile = self.config.profile
 
         def scored() -> None:
-            # Both sides bring the key that was stored with them; no text is hashed again.
+            # Both sides bring the key that was stored with them; no text is hashed again. Each is read and shuffled once.
             articles = store.read("news_articles").drop(HASH).withColumnRenamed(SCORE_KEY, HASH)
-            keys = materialise(articles.select(HASH).distinct(), "article-keys")
-            missing = only_new_to_history(keys, self._scores_before(part), [HASH])
-            store.append("scored_headlines", self.score(articles.join(missing, HASH, "left_semi")), part)
+            missing = only_new(articles.filter(F.col(HASH).isNotNull()), self._scores_before(part), [HASH])
+            store.append("scored_headlines", self.score(missing), part)
 
         def rollup() -> DataFrame:
             weighted = with_time_weight(store.read("scored_headlines"), self.as_of, profile.half_life_days)

@@ -70,7 +70,8 @@ class TableStore:
         versions = self.versions(name)
         parts = [p for p in (self._parts(name, versions[-1]) if versions else []) if not p.endswith(f"/part={without}")]
         if not parts:
-            df = self.spark.createDataFrame([], self.schemas[name])
+            # The filter tells the planner that there are no rows: joins with them shuffle nothing.
+            df = self.spark.createDataFrame([], self.schemas[name]).filter(F.lit(False))
         else:
             df = self.spark.read.option("mergeSchema", str(len(parts) > 1).lower()).parquet(*parts)
         return df.filter(F.col("entity") == entity) if entity else df
