@@ -187,6 +187,45 @@ def test_pipeline_near_copies_come_from_the_popcount_search(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept) == list(range(6))
 
 
+def test_pipeline_near_copies_lose_no_pair_at_the_limit(spark):
+    """Pairs of similarity 0.8 that share no key of 24 minhash bands of 5 and are out of the search's radius."""
+    import corpus_pipeline
+
+    texts = []
+    for seed in (2128, 5702, 22181, 30310, 44935, 63731, 77244, 77393, 87097, 101966):
+        r = random.Random(seed)
+        words = [f"w{r.randrange(10**6)}" for _ in range(49)]
+        texts += [" ".join(words), " ".join([*words[:44], *(f"x{w}" for w in words[44:])])]
+    sets = [five_word_sets(t) for t in texts]
+    assert all(5 * len(a & b) == 4 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 20, 2))
+
+
+@pytest.mark.parametrize("sizes", [near_copies.SIZES, ((9, 1.0), (40, 0.3), (130, 0.15), (1 << 40, 0.1))])
+def test_prefix_join_alone_finds_every_pair(spark, monkeypatch, sizes):
+    """Texts of all sizes with common passages, and copies just above and below the limit; every pair is its own component or not."""
+    r = random.Random(33)
+    passages = [prose(r, 30) for _ in range(3)]
+    texts = []
+    for k in range(260):
+        n = r.choice((5, 6, 7, 9, 12, 20, 40, 90, 128, 150, 300))
+        base = f"{prose(r, n)} {r.choice(passages)}" if k % 3 == 0 else " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+        words = base.split()
+        cut = max(1, round(len(words) * r.uniform(0.04, 0.25)))
+        texts += [base, base, " ".join(words[:-cut]) if k % 2 else " ".join([*words[:-cut], *(f"y{w}" for w in words[-cut:])])]
+    near = [five_word_sets(t) for t in texts]
+    least = list(range(len(texts)))
+    for _ in range(4):
+        for i, a in enumerate(near):
+            least[i] = min(least[j] for j, b in enumerate(near) if 5 * len(a & b) >= 4 * len(a | b))
+    assert 300 < len(set(least)) < 500
+    monkeypatch.setattr(near_copies, "SIZES", sizes)
+    monkeypatch.setattr(near_copies, "within_radius", lambda marked: spark.createDataFrame([], "a long, b long"))
+    kept = near_copies.keep_first(documents(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(least))
+
+
 def test_near_copies_keeps_every_text_under_null_and_repeated_ids(spark):
     docs, own = unlike_rows(spark)
     kept = [(r["doc_id"], r["text"]) for r in near_copies.keep_first(docs).collect()]
